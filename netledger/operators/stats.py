@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from netledger.functions.timebins import date_spine
 from netledger.operators.scan import prefix_scan, value_bucket
 
 
@@ -22,8 +21,9 @@ def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), desce
     running = prefix_scan(
         counts, keys, [value], value_bucket(value), sums={"upto": F.col("base_count")}, reverse=descending
     )
-    totals = counts.groupBy(*keys).agg(F.sum("base_count").alias("total"))
-    return running.join(totals, list(keys)) if keys else running.join(F.broadcast(totals))
+    if not keys:
+        return running.withColumn("total", counts.agg(F.sum("base_count")).scalar())
+    return running.join(counts.groupBy(*keys).agg(F.sum("base_count").alias("total")), list(keys))
 
 
 def cdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -48,11 +48,12 @@ def rank_min(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str]
 
 def rank_bins(df: DataFrame, rank: str, name: str = "bin", bins: int = 10) -> DataFrame:
     """Equal-width bins over the range of the ranks, right-open, the last one closed; adds the bin's bounds."""
-    bounds = df.agg(F.min(rank).alias("__lo"), F.max(rank).alias("__hi"))
+    bounds = df.agg(F.struct(F.min(rank).alias("lo"), F.max(rank).alias("hi"))).scalar()
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     index = F.least(F.floor(F.try_divide(F.col(rank) - F.col("__lo"), width)), F.lit(bins - 1))
     number = F.coalesce(index, F.lit(0)).cast("int")
-    return df.join(F.broadcast(bounds)).select(
+    ranged = df.withColumn("__b", bounds).withColumns({"__lo": F.col("__b.lo"), "__hi": F.col("__b.hi")})
+    return ranged.select(
         *df.columns, number.alias(name), (F.col("__lo") + number * width).alias(f"{name}_lo"),
         (F.col("__lo") + (number + 1) * width).alias(f"{name}_hi"),
     )
@@ -97,12 +98,10 @@ def top_or_other(df: DataFrame, label: str, amount: str, keep: int = 9) -> DataF
     """Keep the labels with the largest totals; the k others become "Other N=k"."""
     totals = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.sum(amount).alias("__total"))
     main = totals.orderBy(F.desc("__total"), label).limit(keep).select(label, F.lit(True).alias("__main"))
-    number = totals.agg(F.greatest(F.count("*") - keep, F.lit(0)).alias("__others"))
-    # `keep` rows and one row: bounded by parameters.
-    marked = df.join(F.broadcast(main), label, "left").join(F.broadcast(number))
-    named = F.when(F.col("__main"), F.col(label)).otherwise(
-        F.concat(F.lit("Other N="), F.col("__others").cast("string"))
-    )
+    others = totals.agg(F.greatest(F.count("*") - keep, F.lit(0)).cast("string")).scalar()
+    # At most `keep` rows, so the broadcast is bounded by a parameter.
+    marked = df.join(F.broadcast(main), label, "left").withColumn("__others", others)
+    named = F.when(F.col("__main"), F.col(label)).otherwise(F.concat(F.lit("Other N="), F.col("__others")))
     return marked.withColumn(label, named).select(*df.columns)
 
 
@@ -116,10 +115,10 @@ def top_label(df: DataFrame, user: str, amount: str, n: int = 20, name: str = "t
     """Per user: "Top n" for the n largest totals (ties by user), "Bottom k" for the other k."""
     totals = df.groupBy(user).agg(F.sum(amount).alias("__total"))
     top = totals.orderBy(F.desc("__total"), user).limit(n).select(user, F.lit(True).alias("__top"))
-    rest = totals.agg((F.count("*") - n).alias("__rest"))
-    bottom = F.concat(F.lit("Bottom "), F.col("__rest").cast("string"))
+    rest = totals.agg((F.count("*") - n).cast("string")).scalar()
+    bottom = F.concat(F.lit("Bottom "), F.col("__rest"))
     return (
-        totals.join(F.broadcast(top), user, "left").join(F.broadcast(rest))
+        totals.join(F.broadcast(top), user, "left").withColumn("__rest", rest)
         .select(user, F.when(F.col("__top"), F.lit(f"Top {n}")).otherwise(bottom).alias(name))
     )
 
@@ -141,17 +140,13 @@ def layer_order(df: DataFrame, label: str, directions: dict[str, str]) -> DataFr
 
 
 def densify(df: DataFrame, day: str, first: datetime, last: datetime, keys: Sequence[str], values: Sequence[str],
-            outer: bool = False, days: DataFrame | None = None) -> DataFrame:
+            outer: bool = False, step_days: int = 1) -> DataFrame:
     """A row for every (day of the range, key) with zeros where df has none; outer keeps df's other days as well.
 
     The grid is the distinct keys, each with a calendar array exploded: linear in the number of keys.
     """
-    if days is None:
-        dates = F.sequence(F.lit(first.date()), F.lit(last.date()))
-        spine = df.select(*keys).distinct().select(*keys, F.explode(dates).alias(day))
-    else:
-        # A calendar given as one array row.
-        spine = df.select(*keys).distinct().join(F.broadcast(days)).select(*keys, F.explode("days").alias(day))
+    dates = F.sequence(F.lit(first.date()), F.lit(last.date()), F.make_dt_interval(days=F.lit(step_days)))
+    spine = df.select(*keys).distinct().select(*keys, F.explode(dates).alias(day))
     joined = spine.join(df, [*keys, day], "full" if outer else "left")
     return joined.withColumns({v: F.coalesce(v, F.lit(0)) for v in values})
 
@@ -213,13 +208,13 @@ def prediction_curve(linear: DataFrame, loglog: DataFrame, points: int = 1000) -
     steps = F.sequence(F.lit(0), F.lit(points - 1))
     x = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("i") / F.lit(float(points - 1))
     grid = linear.select("slope", "intercept", "x_min", "x_max", F.explode(steps).alias("i"))
-    log_params = F.broadcast(loglog.select(F.col("slope").alias("__b"), F.col("intercept").alias("__a")))
-    base = grid.join(log_params).withColumn("x", x)
+    log_fit = loglog.select(F.struct(F.col("slope").alias("b"), F.col("intercept").alias("a"))).scalar()
+    base = grid.withColumn("x", x).withColumn("__log", log_fit)
     both = F.array(
         F.struct(F.lit("linear").alias("fit"), (F.col("intercept") + F.col("slope") * F.col("x")).alias("prediction")),
         F.struct(
             F.lit("loglog").alias("fit"),
-            F.exp(F.col("__a") + F.col("__b") * F.ln(F.col("x"))).alias("prediction"),
+            F.exp(F.col("__log.a") + F.col("__log.b") * F.ln(F.col("x"))).alias("prediction"),
         ),
     )
     return base.select("i", "x", F.explode(both).alias("__e")).select("i", "x", "__e.*")
