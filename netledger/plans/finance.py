@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -184,13 +184,14 @@ def revenue_cumulative(txns: DataFrame, p: StudyParams, without_top: tuple[int,
 # --- credit between users ----------------------------------------------------------------------------------------
 
 
-def user_loans(txns: DataFrame, p: StudyParams) -> DataFrame:
+def user_loans(txns: DataFrame, p: StudyParams, tainted_end: datetime | None = None) -> DataFrame:
     """Transfers between different users that are not resellers, outside the exploit, in the comparison period.
 
     The period is as long after the lockdown as before it, extended by the length of the exploit window.
     """
-    end = p.lockdown + (p.lockdown - p.before_start) + (p.exploit_end - p.exploit_start)
-    outside = (F.col("ts") < ntz(p.exploit_start)) | (F.col("ts") > ntz(p.exploit_end))
+    tainted_end = tainted_end or p.exploit_end
+    end = p.lockdown + (p.lockdown - p.before_start) + (tainted_end - p.exploit_start)
+    outside = (F.col("ts") < ntz(p.exploit_start)) | (F.col("ts") > ntz(tainted_end))
     sent = txns.where(F.col("kind") == "user_transfer").dropna(subset=["user_id", "dest_user_id"])
     return (
         sent.where(F.col("user_id") != F.col("dest_user_id")).where(outside)
@@ -205,14 +206,17 @@ def _compared_days(p: StudyParams) -> float:
 
 
 def loan_matrix(loans: DataFrame, p: StudyParams) -> DataFrame:
-    """IDR per day from user to user: the cells of the user-by-user matrix that hold money.
+    """IDR per day from user to user and period: the cells of the user-by-user matrix that hold money.
 
-    All other cells are zero; matrix_users is the number of rows and columns of the full matrix.
+    Only users who took part in both periods have cells. All other cells are zero; matrix_users is the number of rows
+    and columns of the full matrix.
     """
     users = loans.select("user_id").union(loans.select("dest_user_id")).distinct()
-    cells = loans.groupBy("user_id", "dest_user_id").agg(F.sum("amount_idr").alias("idr"))
+    cells = loans_of_lasting_users(loans).groupBy("timeline", "user_id", "dest_user_id").agg(
+        F.sum("amount_idr").alias("idr")
+    )
     return cells.select(
-        "user_id", "dest_user_id", (F.col("idr") / F.lit(float(_compared_days(p)))).alias("idr_per_day")
+        "timeline", "user_id", "dest_user_id", (F.col("idr") / F.lit(float(_compared_days(p)))).alias("idr_per_day")
     ).withColumn("matrix_users", users.agg(F.count("*")).scalar())
 
 

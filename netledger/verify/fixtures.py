@@ -155,9 +155,47 @@ SELECT flow_id, start_ts, end_ts, user_id, concat('8.8.8.', CAST(flow_id % 3 AS
 FROM fx_flows
 """
 
+VIEWS["fx_nul_log"] = """
+SELECT line_no, CASE WHEN line_no % 10 = 0 THEN concat(substr(line, 1, 5), chr(0), substr(line, 6)) ELSE line END AS line
+FROM fx_txn_log
+"""
+VIEWS["fx_traceroutes"] = """
+SELECT concat('trace-', CAST(flow_id AS STRING)) AS file,
+       concat('traceroute to ', fqdn, ' (', dest_ip, '), 30 hops max', chr(10),
+              ' 1 gw (10.0.0.1) ', CAST(flow_id % 50 AS STRING), '.5 ms ', CAST(flow_id % 7 AS STRING), '.25 ms ',
+              CAST(flow_id % 3 AS STRING), '.0 ms', chr(10),
+              ' 2 hop (', dest_ip, ') ', CAST(flow_id % 90 AS STRING), '.5 ms * ', CAST(flow_id % 11 AS STRING),
+              '.0 ms', chr(10), ' 3 * * *', chr(10)) AS content
+FROM fx_flows WHERE fqdn <> ''
+"""
+VIEWS["fx_prepared_traces"] = """
+SELECT 'Prepared' AS dataset, fqdn AS domain, CAST(flow_id % 9 AS INT) AS hop, dest_ip AS ip,
+       CASE WHEN flow_id % 4 = 0 THEN NULL ELSE CAST(bytes_up AS DOUBLE) / 8 END AS latency, 0 AS last_hop
+FROM fx_flows
+"""
+
+VIEWS["fx_mixed_flows"] = """
+SELECT flow_id, start_ts, end_ts, user_id, category, bytes_up, bytes_down * (1 + flow_id % 7) AS bytes_down, is_local
+FROM fx_flows
+"""
+# Ten resellers receive all administrator top-ups.
+VIEWS["fx_reseller_txns"] = """
+SELECT txn_id, ts, kind, user_id,
+       CASE WHEN kind = 'admin_topup' THEN dest_user_id % 10 ELSE dest_user_id END AS dest_user_id,
+       amount_bytes, amount_idr
+FROM fx_transactions
+"""
+
 # Which views a view reads.
 USES = {
-    "fx_balance_flows": ["fx_flows"], "fx_reverse_names": ["fx_flows"], "fx_port_flows": ["fx_flows"],
+    "fx_balance_flows": ["fx_flows"],
+    "fx_reverse_names": ["fx_flows"],
+    "fx_port_flows": ["fx_flows"],
+    "fx_nul_log": ["fx_txn_log"],
+    "fx_traceroutes": ["fx_flows"],
+    "fx_prepared_traces": ["fx_flows"],
+    "fx_mixed_flows": ["fx_flows"],
+    "fx_reseller_txns": ["fx_transactions"],
 }
 _BASE_TABLES = ("events", "lineitem", "orders", "part")
 
