@@ -15,7 +15,7 @@ def _week(day: str, iso: int = 1) -> str:
 
 def _rd(expr: str) -> str:
     """Six places; the small shift keeps exact halves from rounding differently in the two engines."""
-    return f"round({expr} + 2e-9, 6)"
+    return f"round({expr} + 2.37e-9, 6)"
 
 
 def _r(expr: str, name: str) -> str:
@@ -663,12 +663,12 @@ def _layers(source: str, label: str) -> str:
 oracle("sort_order", ["fx_daily"], _layers("fx_daily", "category"))
 oracle("rolling_time", ["day_series"], f"""
 SELECT *, round(avg(bytes_up) OVER (PARTITION BY category ORDER BY day
-       RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) + 2e-9, 6) AS mean_7d FROM day_series""")
+       RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) + 2.37e-9, 6) AS mean_7d FROM day_series""")
 oracle("rolling_rows", ["day_series"], """
-SELECT *, CASE WHEN count(*) OVER w = 7 THEN round(avg(bytes_up) OVER w + 2e-9, 6) END AS mean_7r FROM day_series
+SELECT *, CASE WHEN count(*) OVER w = 7 THEN round(avg(bytes_up) OVER w + 2.37e-9, 6) END AS mean_7r FROM day_series
 WINDOW w AS (PARTITION BY category ORDER BY day ROWS 6 PRECEDING)""")
 oracle("daily_users_7row_mean", ["fx_flows"], f"""
-SELECT day, users, CASE WHEN count(*) OVER w = 7 THEN round(avg(users) OVER w + 2e-9, 6) END AS users_7d
+SELECT day, users, CASE WHEN count(*) OVER w = 7 THEN round(avg(users) OVER w + 2.37e-9, 6) END AS users_7d
 FROM (SELECT {_day()} AS day, count(DISTINCT user_id) AS users FROM fx_flows GROUP BY 1)
 WINDOW w AS (ORDER BY day ROWS 6 PRECEDING)""")
 for _key, _fill in (
@@ -757,7 +757,7 @@ trace(n, txn_id, tainted, dirty) AS (
 oracle("user_ledger", ["ledger"], "SELECT * FROM ledger")
 oracle("running_balance", ["balances"], "SELECT * FROM balances")
 oracle("all_flows", ["all3"], "SELECT * FROM all3")
-_CONSOLIDATED = "SELECT * REPLACE (round(seconds_since_last + 2e-9, 6) AS seconds_since_last) FROM consolidated"
+_CONSOLIDATED = "SELECT * REPLACE (round(seconds_since_last + 2.37e-9, 6) AS seconds_since_last) FROM consolidated"
 oracle("consolidated_purchases", ["consolidated"], _CONSOLIDATED)
 
 # --- data balance --------------------------------------------------------------------------------------------------
@@ -798,7 +798,7 @@ def _weekly(source: str, label: str, day: str) -> str:
         f"FROM {source} GROUP BY 1, 2"
     )
     return f"""
-SELECT w.{label}, w.direction, week, round(b / 1e9 + 2e-9, 6) AS gb, o."order" FROM (
+SELECT w.{label}, w.direction, week, round(b / 1e9 + 2.37e-9, 6) AS gb, o."order" FROM (
   SELECT week, {label}, 'Downlink' AS direction, bytes_down AS b FROM ({weekly})
   UNION ALL SELECT week, {label}, 'Uplink', bytes_up FROM ({weekly})) w
 JOIN ({_layers(source, label)}) o ON w.{label} = o.{label} AND w.direction = o.direction"""
@@ -952,8 +952,8 @@ FULL JOIN (SELECT {_HEALTH_WEEK}, primary_domain, count(DISTINCT user_id) AS use
 def _matrix(label: str, totals: str) -> str:
     return f"""
 SELECT user_id, {label}, {_r('b / 1e9', 'gb')},
-       CASE WHEN b > 0 THEN round(log10(b / 1e9) + 2e-9, 6) END AS log_gb, {_r('b / u', 'share')},
-       CASE WHEN b > 0 THEN round(log10(b / 1e6 / days_active) + 2e-9, 6) END AS log_mb_per_day
+       CASE WHEN b > 0 THEN round(log10(b / 1e9) + 2.37e-9, 6) END AS log_gb, {_r('b / u', 'share')},
+       CASE WHEN b > 0 THEN round(log10(b / 1e6 / days_active) + 2.37e-9, 6) END AS log_mb_per_day
 FROM (SELECT user_id, {label}, CAST(sum(b) AS BIGINT) AS b,
              CAST(sum(sum(b)) OVER (PARTITION BY user_id) AS BIGINT) AS u FROM ({totals}) GROUP BY 1, 2)
 JOIN eligible USING (user_id)"""

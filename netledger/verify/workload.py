@@ -429,7 +429,7 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded for comparison across engines; the shift keeps exact halves from rounding differently."""
     return df.select(*[
-        F.round(F.col(f.name) + F.lit(2e-9), places).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        F.round(F.col(f.name) + F.lit(2.37e-9), places).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`") for f in df.schema.fields
     ])
 
