@@ -24,18 +24,20 @@ def all_flows(typical: DataFrame, p2p: DataFrame, nouser: DataFrame | None = Non
     return union
 
 
-def log_gaps(flows: DataFrame, mode: str = "previous", bucket_unit: str = "minute") -> DataFrame:
+def log_gaps(flows: DataFrame, mode: str = "previous", bucket_unit: str = "second") -> DataFrame:
     """Times without flows in progress, over all users.
 
     mode="previous" compares each start with the end of the flow that started just before it; mode="running_max"
-    compares with the latest end so far, so that a long flow still in progress suppresses a gap. flows is the result
-    of all_flows; the global order is scanned in time buckets with one carry row each.
+    compares with the latest end so far, so that a long flow still in progress suppresses a gap. flows is the result of
+    all_flows. The order is global, so it is scanned in very short time buckets whose summaries go through day
+    buckets: no task sees more than a second of flows or a day of summaries.
     """
     expr = {"__prev_end": F.col("end_ts")}
     order = ["start_ts", "kind", "flow_id"]
     scans = {"lasts": expr} if mode == "previous" else {"maxes": expr}
     slim = flows.select(*order, "end_ts").where(F.col("start_ts").isNotNull())
-    scanned = prefix_scan(slim, [], order, time_bucket("start_ts", bucket_unit), inclusive=False, **scans)
+    scanned = prefix_scan(slim, [], order, time_bucket("start_ts", bucket_unit), inclusive=False,
+                          coarser=lambda b: F.date_trunc("day", b), **scans)
     return scanned.where(F.col("start_ts") > F.col("__prev_end")).select(
         F.col("__prev_end").alias("gap_start"), F.col("start_ts").alias("gap_end")
     )

@@ -54,7 +54,7 @@ def balance_selectivity(flows: DataFrame, eligible: DataFrame) -> DataFrame:
     )
 
 
-def last_external_download(events: DataFrame, unit: str = "day") -> DataFrame:
+def last_external_download(events: DataFrame, unit: str = "hour") -> DataFrame:
     """Add last_ext_rx: end of the latest external flow with downlink, looking back in order of END time.
 
     A flow that began before a purchase may carry data because of it, hence the end time.
@@ -66,7 +66,7 @@ def last_external_download(events: DataFrame, unit: str = "day") -> DataFrame:
     )
 
 
-def zero_ranges(events: DataFrame, min_failed: int = 50, unit: str = "day") -> DataFrame:
+def zero_ranges(events: DataFrame, min_failed: int = 50, unit: str = "hour") -> DataFrame:
     """Times between the last download and a purchase in which at least min_failed external flows got no downlink.
 
     An overlap join is not needed: flows that overlap [a, b] are those that start by b minus those that end before a,
@@ -98,7 +98,7 @@ def zero_ranges(events: DataFrame, min_failed: int = 50, unit: str = "day") -> D
     return candidates.join(counts, ["user_id", "event_id"]).where(F.col("failed_flows") >= min_failed)
 
 
-def history_with_marks(events: DataFrame, ranges: DataFrame, unit: str = "day") -> DataFrame:
+def history_with_marks(events: DataFrame, ranges: DataFrame, unit: str = "hour") -> DataFrame:
     """Events with net bytes, a zero mark per range, and an opening row that keeps the balance from going negative."""
     zero = F.lit(0).cast("bigint")
     history = events.withColumn(
@@ -119,7 +119,7 @@ def history_with_marks(events: DataFrame, ranges: DataFrame, unit: str = "day")
     return history.unionByName(tares).unionByName(opening)
 
 
-def tare_offsets(history: DataFrame, unit: str = "day") -> DataFrame:
+def tare_offsets(history: DataFrame, unit: str = "hour") -> DataFrame:
     """Correction at each zero mark: the drop of the lowest later balance since the previous mark of the user."""
     running = prefix_scan(
         history, ["user_id"], _ORDER, _bucket("ts", unit), sums={"balance": F.col("net_bytes")}
@@ -139,7 +139,7 @@ def tare_offsets(history: DataFrame, unit: str = "day") -> DataFrame:
     )
 
 
-def corrected_history(history: DataFrame, tares: DataFrame, unit: str = "day") -> DataFrame:
+def corrected_history(history: DataFrame, tares: DataFrame, unit: str = "hour") -> DataFrame:
     """Balance after each row with the zero marks applied, floored at zero; position orders a user's rows."""
     marks = tares.select("user_id", "ts", "event_id", F.lit("tare").alias("type"), "tare_bytes")
     joined = history.join(marks, ["user_id", "ts", "event_id", "type"], "left").withColumn(
@@ -153,14 +153,14 @@ def corrected_history(history: DataFrame, tares: DataFrame, unit: str = "day") -
 
 
 def user_data_balance(flows: DataFrame, purchases: DataFrame, eligible: DataFrame, min_failed: int = 50,
-                      unit: str = "day") -> DataFrame:
+                      unit: str = "hour") -> DataFrame:
     """The whole reconstruction. Stages that several later scans read are written once."""
     events = materialise(balance_events(flows, purchases, eligible))
     history = materialise(history_with_marks(events, zero_ranges(events, min_failed, unit), unit))
     return corrected_history(history, tare_offsets(history, unit), unit)
 
 
-def hourly_ledger(flows: DataFrame, purchases: DataFrame, unit: str = "day") -> DataFrame:
+def hourly_ledger(flows: DataFrame, purchases: DataFrame, unit: str = "hour") -> DataFrame:
     """Per user: hourly use (empty hours included) and purchases with the running balance of both."""
     hour = F.date_trunc("hour", "start_ts").cast("timestamp_ntz")
     used = (

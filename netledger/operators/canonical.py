@@ -176,7 +176,7 @@ def finalise_transactions(txns: DataFrame) -> DataFrame:
     )
 
 
-def stitch_flows(flows: DataFrame, tolerance_seconds: float = 1.0, bucket_unit: str = "day") -> DataFrame:
+def stitch_flows(flows: DataFrame, tolerance_seconds: float = 1.0, bucket_unit: str = "hour") -> DataFrame:
     """Join a flow with its continuation: same subscriber, ports and protocol, start within a second of the last end.
 
     Works on canonical flows, where a direction swap between the parts is already undone.

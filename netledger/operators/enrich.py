@@ -14,7 +14,7 @@ from netledger.operators.scan import prefix_scan, time_bucket
 from netledger.params import ICE, UNKNOWN_NO_DNS, UNKNOWN_NOT_MAPPED
 
 
-def attribute_dns(flows: DataFrame, dns: DataFrame, bucket_unit: str = "day") -> DataFrame:
+def attribute_dns(flows: DataFrame, dns: DataFrame, bucket_unit: str = "hour") -> DataFrame:
     """As-of join: each flow gets the latest name its user was told for the destination address by its start.
 
     An answer at the very start counts. ambiguous_fqdn_count is the number of different names the user had been told

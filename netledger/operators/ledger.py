@@ -41,7 +41,7 @@ def _offsets(ledger: DataFrame, unit: str) -> DataFrame:
     return lows.where(F.col("low") < 0).select("user_id", (-F.col("low")).alias("offset"))
 
 
-def early_balances(txns: DataFrame, min_date: datetime, cutoff: datetime | None = None, bucket_unit: str = "day"
+def early_balances(txns: DataFrame, min_date: datetime, cutoff: datetime | None = None, bucket_unit: str = "hour"
                    ) -> DataFrame:
     """Balance of each user when the study begins; `inferred` marks users who would have gone negative."""
     ledger = user_ledger(txns).where(F.col("user_id").isNotNull())
@@ -58,13 +58,13 @@ def early_balances(txns: DataFrame, min_date: datetime, cutoff: datetime | None
     )
 
 
-def early_registered_users(txns: DataFrame, bucket_unit: str = "day") -> DataFrame:
+def early_registered_users(txns: DataFrame, bucket_unit: str = "hour") -> DataFrame:
     """Users whose running balance goes negative: they had an account before the log began."""
     return _offsets(user_ledger(txns).where(F.col("user_id").isNotNull()), bucket_unit).select("user_id")
 
 
 def running_balances(txns: DataFrame, start: datetime, end: datetime, outlier: tuple[object, datetime] | None = None,
-                     bucket_unit: str = "day") -> DataFrame:
+                     bucket_unit: str = "hour") -> DataFrame:
     """Balance after every account entry inside [start, end), lifted so that it never goes negative.
 
     outlier=(user, moment) drops that user's entries after the moment.
@@ -90,7 +90,7 @@ def running_balances(txns: DataFrame, start: datetime, end: datetime, outlier: t
     return out
 
 
-def time_at_zero(balances: DataFrame, active: DataFrame, eligible: DataFrame, bucket_unit: str = "day") -> DataFrame:
+def time_at_zero(balances: DataFrame, active: DataFrame, eligible: DataFrame, bucket_unit: str = "hour") -> DataFrame:
     """Per eligible user: days with an empty account and share of the active time. The last entry lasts zero time."""
     nxt = prefix_scan(
         balances, ["user_id"], LEDGER_ORDER, time_bucket("ts", bucket_unit),
@@ -118,7 +118,7 @@ def time_at_zero(balances: DataFrame, active: DataFrame, eligible: DataFrame, bu
     )
 
 
-def consolidate_purchases(txns: DataFrame, gap_seconds: int = 60, bucket_unit: str = "day") -> DataFrame:
+def consolidate_purchases(txns: DataFrame, gap_seconds: int = 60, bucket_unit: str = "hour") -> DataFrame:
     """Join purchases that follow the previous one of the user within less than gap_seconds.
 
     Keeps the first time, sums the amounts, and gives the time since the first purchase of the previous group.

@@ -9,7 +9,7 @@ the data, and only they pass through a window over the bare key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,7 +22,7 @@ def time_bucket(ts: Column | str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, as_col(ts))
 
 
-def value_bucket(value: Column | str, per_unit: int = 4096) -> Column:
+def value_bucket(value: Column | str, per_unit: int = 1024) -> Column:
     """A monotone bucket number for a numeric value, finer near zero: about per_unit buckets per factor e."""
     v = as_col(value).cast("double")
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * per_unit)).cast("long")
@@ -44,11 +44,13 @@ def prefix_scan(
     lasts: Mapping[str, Column] | None = None,
     inclusive: bool = True,
     reverse: bool = False,
+    coarser: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add running sums, maxima, minima and last-non-null values per key in the given total order.
 
     keys must be non-null (drop NULL keys first); bucket must be a non-decreasing function of order[0]. With
-    inclusive=False a row sees only the rows before it. With reverse=True the scan runs from the end.
+    inclusive=False a row sees only the rows before it. With reverse=True the scan runs from the end. For very fine
+    buckets, coarser maps a bucket to a wider one: the summaries are then scanned on two levels as well.
     """
     sums, maxes, mins, lasts = dict(sums or {}), dict(maxes or {}), dict(mins or {}), dict(lasts or {})
     # Inputs get names once so that the per-row and the per-bucket branch read the same columns.
@@ -60,47 +62,59 @@ def prefix_scan(
         .orderBy(*_ordered(order, reverse))
         .rowsBetween(Window.unboundedPreceding, frame_end)
     )
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(*_ordered([_BUCKET], reverse))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     position = F.struct(*[F.col(c) for c in order])
-    local_cols, bucket_aggs, carry_cols, combined = {}, [], {}, {}
+    local_cols, bucket_aggs, combined = {}, [], {}
 
-    def add(name: str, running: Column, agg: Column, carry: Column, merge) -> None:
+    def add(name: str, running: Column, agg: Column, merge) -> None:
         local_cols[f"__loc_{name}"] = running
         bucket_aggs.append(agg.alias(f"__agg_{name}"))
-        carry_cols[f"__car_{name}"] = carry
         combined[name] = merge(F.col(f"__car_{name}"), F.col(f"__loc_{name}"))
 
     for name in sums:
         x = F.col(f"__in_{name}")
-        add(name, F.sum(x).over(local), F.sum(x), F.sum(f"__agg_{name}").over(across),
+        add(name, F.sum(x).over(local), F.sum(x),
             lambda carry, loc: F.coalesce(carry, F.lit(0)) + F.coalesce(loc, F.lit(0)))
     for name in maxes:
         x = F.col(f"__in_{name}")
-        add(name, F.max(x).over(local), F.max(x), F.max(f"__agg_{name}").over(across), F.greatest)
+        add(name, F.max(x).over(local), F.max(x), F.greatest)
     for name in mins:
         x = F.col(f"__in_{name}")
-        add(name, F.min(x).over(local), F.min(x), F.min(f"__agg_{name}").over(across), F.least)
+        add(name, F.min(x).over(local), F.min(x), F.least)
     for name in lasts:
         x = F.col(f"__in_{name}")
         ranked = F.when(x.isNotNull(), position)
         newest = F.min_by(x, ranked) if reverse else F.max_by(x, ranked)
-        add(name, F.last(x, ignorenulls=True).over(local), newest,
-            F.last(f"__agg_{name}", ignorenulls=True).over(across),
-            lambda carry, loc: F.coalesce(loc, carry))
+        add(name, F.last(x, ignorenulls=True).over(local), newest, lambda carry, loc: F.coalesce(loc, carry))
 
-    carry = (
-        rows.groupBy(*keys, _BUCKET).agg(*bucket_aggs)
-        .withColumns(carry_cols)
-        .select(*keys, _BUCKET, *carry_cols)
-    )
+    summary = rows.groupBy(*keys, _BUCKET).agg(*bucket_aggs)
+    carry = _carry(summary, keys, reverse, coarser, sums, maxes, mins, lasts)
     scanned = rows.withColumns(local_cols).join(carry, [*keys, _BUCKET], "inner")
     return scanned.select(*df.columns, *[expr.alias(name) for name, expr in combined.items()])
 
 
+def _carry(summary: DataFrame, keys: Sequence[str], reverse: bool, coarser, sums, maxes, mins, lasts) -> DataFrame:
+    """State that each bucket starts with: the combination of all earlier buckets of the key."""
+    source = lambda names: {f"__car_{n}": F.col(f"__agg_{n}") for n in names}
+    if coarser is not None:
+        outer = summary.withColumnRenamed(_BUCKET, "__fine")
+        scanned = prefix_scan(
+            outer, keys, ["__fine"], coarser(F.col("__fine")), sums=source(sums), maxes=source(maxes),
+            mins=source(mins), lasts=source(lasts), inclusive=False, reverse=reverse,
+        ).withColumnRenamed("__fine", _BUCKET)
+    else:
+        across = (
+            Window.partitionBy(*keys).orderBy(*_ordered([_BUCKET], reverse))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        scanned = summary.withColumns({
+            **{n: F.sum(c).over(across) for n, c in source(sums).items()},
+            **{n: F.max(c).over(across) for n, c in source(maxes).items()},
+            **{n: F.min(c).over(across) for n, c in source(mins).items()},
+            **{n: F.last(c, ignorenulls=True).over(across) for n, c in source(lasts).items()},
+        })
+    return scanned.select(*keys, _BUCKET, *[f"__car_{n}" for n in (*sums, *maxes, *mins, *lasts)])
+
+
 def running_minimum_of_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, delta: Column, name: str = "minimum"
 ) -> DataFrame:

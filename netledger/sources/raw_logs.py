@@ -29,25 +29,27 @@ def parse_traceroutes(files: DataFrame, dataset: str = "Community Network") -> D
     A token that is not a number lowers the divisor by one, and hops without any latency are dropped.
     """
     lines = F.filter(F.split("content", r"\r?\n"), lambda l: F.length(F.trim(l)) > 0)
-    hops = files.select("file", F.posexplode(lines).alias("pos", "line"), F.size(lines).alias("n"))
-    header = F.col("line").startswith("traceroute to")
-    domains = F.max_by(F.when(header, F.get(F.split("line", r"\s+"), F.lit(2))), F.when(header, F.col("pos")))
-    per_file = hops.groupBy("file").agg(domains.alias("domain"))
-    tokens = F.split(F.trim(F.regexp_replace("line", r" ms|[()]", "")), r"\s+")
-    times = F.concat(F.slice(tokens, 2, 1), F.slice(tokens, 4, 1_000_000))
-    readable = F.filter(F.transform(times, lambda t: t.try_cast("double")), lambda v: v.isNotNull())
-    total = F.aggregate(readable, F.lit(0.0), lambda a, b: a + b)
-    divisor = F.size(readable) - (F.size(times) - F.size(readable))
-    latency = total / F.greatest(divisor, F.lit(1))
-    return (
-        hops.where(~header).join(per_file, "file")
-        .select(
-            F.lit(dataset).alias("dataset"), "domain", F.get(tokens, F.lit(0)).cast("int").alias("hop"),
-            F.get(tokens, F.lit(2)).alias("ip"), latency.alias("latency"),
-            (F.col("pos") == F.col("n") - 1).cast("int").alias("last_hop"),
-        )
-        .where(F.col("latency") > 0)
+    is_header = lambda l: l.startswith("traceroute to")
+    header = F.element_at(F.filter("lines", is_header), -1)
+    # Each step is a column of its own, so that no step is evaluated more than once per line.
+    hops = (
+        files.select("file", lines.alias("lines"))
+        .select(F.size("lines").alias("n"), F.get(F.split(header, r"\s+"), F.lit(2)).alias("domain"),
+                F.posexplode("lines").alias("pos", "line"))
+        .where(~is_header(F.col("line")))
+        .select("n", "domain", "pos", F.split(F.trim(F.regexp_replace("line", r" ms|[()]", "")), r"\s+").alias("tokens"))
     )
+    times = F.concat(F.slice("tokens", 2, 1), F.slice("tokens", 4, 1_000_000))
+    timed = hops.withColumn("times", F.transform(times, lambda t: t.try_cast("double")))
+    parsed = timed.withColumn("readable", F.filter("times", lambda v: v.isNotNull()))
+    unreadable = F.size("times") - F.size("readable")
+    total = F.aggregate("readable", F.lit(0.0), lambda a, b: a + b)
+    return parsed.select(
+        F.lit(dataset).alias("dataset"), "domain", F.get("tokens", F.lit(0)).cast("int").alias("hop"),
+        F.get("tokens", F.lit(2)).alias("ip"),
+        (total / F.greatest(F.size("readable") - unreadable, F.lit(1))).alias("latency"),
+        (F.col("pos") == F.col("n") - 1).cast("int").alias("last_hop"),
+    ).where(F.col("latency") > 0)
 
 
 def traceroute_latency(files: DataFrame, prepared: DataFrame) -> DataFrame:
