@@ -140,6 +140,10 @@ def slim_dns(dns: DataFrame) -> DataFrame:
     return dns.select("ts", "user_id", "domain_name", "ip_address")
 
 
+def slim_dns_with_id(dns: DataFrame) -> DataFrame:
+    return dns.select("dns_id", "ts", "user_id", "domain_name", "ip_address")
+
+
 def shift_to_local(df: DataFrame, *columns: str, hours: int = LOCAL_UTC_OFFSET_HOURS) -> DataFrame:
     return df.withColumns({c: F.col(c) + F.make_dt_interval(hours=F.lit(hours)) for c in columns})
 

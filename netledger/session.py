@@ -41,10 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the reliable checkpoint folder so that later stages read it instead of recomputing it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write df once as a table in the checkpoint folder, so that later stages read it instead of recomputing it.
+
+    Unlike an RDD checkpoint the table keeps its columns apart (later stages read what they need) and its true size
+    (joins are planned from it). It lives as long as the checkpoint folder and survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

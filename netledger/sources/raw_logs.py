@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netledger.schemas import RAW_DNS, RAW_FLOW
 
 
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def read_raw_flows(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """One wide frame; a key that a record lacks reads as NULL."""
     return spark.read.schema(RAW_FLOW).format(fmt).load(path)
@@ -40,10 +43,10 @@ def parse_traceroutes(files: DataFrame, dataset: str = "Community Network") -> D
         .select("n", "domain", "pos", F.split(F.trim(F.regexp_replace("line", r" ms|[()]", "")), r"\s+").alias("tokens"))
     )
     times = F.concat(F.slice("tokens", 2, 1), F.slice("tokens", 4, 1_000_000))
-    timed = hops.withColumn("times", F.transform(times, lambda t: t.try_cast("double")))
-    parsed = timed.withColumn("readable", F.filter("times", lambda v: v.isNotNull()))
+    # Testing the text first is much cheaper than letting a cast fail on every host name and star.
+    parsed = hops.withColumn("times", times).withColumn("readable", F.filter("times", lambda t: t.rlike(_NUMBER)))
     unreadable = F.size("times") - F.size("readable")
-    total = F.aggregate("readable", F.lit(0.0), lambda a, b: a + b)
+    total = F.aggregate("readable", F.lit(0.0), lambda a, t: a + t.cast("double"))
     return parsed.select(
         F.lit(dataset).alias("dataset"), "domain", F.get("tokens", F.lit(0)).cast("int").alias("hop"),
         F.get("tokens", F.lit(2)).alias("ip"),

@@ -151,7 +151,7 @@ def _dns(s: Study) -> DataFrame:
 
 def _passthrough(s: Study) -> DataFrame:
     """Reverse names that spell the address, for flows that nothing else could label."""
-    filled = enrich.fill_reverse_names(_dns(s), s.view("fx_reverse_names"))
+    filled = materialise(enrich.fill_reverse_names(_dns(s), s.view("fx_reverse_names")))
     return enrich.label_passthrough_peers(enrich.classify_names(filled))
 
 
