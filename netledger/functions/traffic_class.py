@@ -1,8 +1,12 @@
-"""Organisation and category of a host name or an address, as CASE expressions over the rule tables."""
+"""Organisation and category of a host name or an address: one CASE per label, written out from the rule tables.
+
+The CASE is SQL text over a named column: a few hundred branches are parsed at once instead of being put together
+object by object.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -11,68 +15,71 @@ from netledger.functions.timebins import as_col
 from netledger.params import PEER_TO_PEER, UNKNOWN_NO_DNS, UNKNOWN_NOT_MAPPED
 
 
-def _any(tests) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
 
+def _matches(column: str, pattern: str) -> str:
+    return f"`{column}` RLIKE r'{pattern}'"
 
-def _holds(text: Column, token: str) -> Column:
-    return text.startswith(token[1:]) if token.startswith("^") else text.contains(token)
 
+def _any_token(column: str, tokens: list[str]) -> str:
+    """Some token occurs; a leading ^ ties a token to the start."""
+    return _matches(column, "|".join("^" * t.startswith("^") + re.escape(t.removeprefix("^")) for t in tokens))
 
-def _case(branches: list[tuple[Column, str]], default: Column) -> Column:
-    """CASE with the branches in order; the first hit wins."""
-    head, *tail = branches
-    expr = F.when(head[0], F.lit(head[1]))
-    for test, value in tail:
-        expr = expr.when(test, F.lit(value))
-    return expr.otherwise(default)
 
+def _case(branches: list[tuple[str, str]], default: str) -> str:
+    """The first branch that holds wins."""
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in branches) + f" ELSE {default} END"
 
-def _last_pattern(name: Column, table: str, folds: dict[str, str], default: Column) -> Column:
-    rules = [(name.rlike(p), folds.get(c, c)) for p, c in tables.patterns(table)]
-    return _case(rules[::-1], default)
 
+def _last_pattern(column: str, table: str, folds: dict[str, str], default: str) -> str:
+    rules = tables.patterns(table)
+    return _case([(_matches(column, p), _text(folds.get(c, c))) for p, c in reversed(rules)], default)
 
-def _first_token(text: Column, table: str, field: int, default: str) -> Column:
+
+def _first_token(column: str, table: str, field: int, default: str) -> str:
     branches = []
     for rule in tables.token_rules(table):
-        tokens, also = rule[0], rule[1]
-        test = _any(_holds(text, t) for t in tokens)
-        branches.append((test & text.contains(also) if also else test, rule[field]))
-    return _case(branches, F.lit(default))
-
-
-def domain_org(fqdn: Column | str) -> Column:
-    name = as_col(fqdn)
-    return (
-        F.when(name.isNull() | (name == ""), F.lit(UNKNOWN_NO_DNS))
-        .when(_any(name.contains(t) for t in tables.GOOGLE_GATE.split(", ")), F.lit("Google"))
-        .when(_any(name.contains(t) for t in tables.FACEBOOK_GATE.split(", ")), F.lit("Facebook"))
-        .otherwise(_first_token(name, tables.DOMAIN_TOKENS, 2, UNKNOWN_NOT_MAPPED))
-    )
+        test = _any_token(column, rule[0])
+        if rule[1]:
+            test += f" AND {_any_token(column, [rule[1]])}"
+        branches.append((test, _text(rule[field])))
+    return _case(branches, _text(default))
+
+
+def _domain_case(column: str, google: str, facebook: str, field: int) -> Column:
+    gate = lambda tokens: _any_token(column, tokens.split(", "))
+    return F.expr(_case(
+        [
+            (f"coalesce(`{column}`, '') = ''", _text(UNKNOWN_NO_DNS)),
+            (gate(tables.GOOGLE_GATE), google),
+            (gate(tables.FACEBOOK_GATE), facebook),
+        ],
+        _first_token(column, tables.DOMAIN_TOKENS, field, UNKNOWN_NOT_MAPPED),
+    ))
+
+
+def domain_org(column: str) -> Column:
+    return _domain_case(column, _text("Google"), _text("Facebook"), 2)
 
 
-def domain_category(fqdn: Column | str) -> Column:
-    name = as_col(fqdn)
-    google_rest = F.when(
-        name.rlike(tables.GOOGLE_FALLBACK_PATTERN), F.lit(tables.GOOGLE_FALLBACK_CATEGORY)
-    ).otherwise(F.lit(UNKNOWN_NOT_MAPPED))
-    google = _last_pattern(name, tables.GOOGLE_PATTERNS, tables.GOOGLE_FOLDS, google_rest)
-    facebook = _last_pattern(name, tables.FACEBOOK_PATTERNS, tables.FACEBOOK_FOLDS, F.lit(UNKNOWN_NOT_MAPPED))
-    return (
-        F.when(name.isNull() | (name == ""), F.lit(UNKNOWN_NO_DNS))
-        .when(_any(name.contains(t) for t in tables.GOOGLE_GATE.split(", ")), google)
-        .when(_any(name.contains(t) for t in tables.FACEBOOK_GATE.split(", ")), facebook)
-        .otherwise(_first_token(name, tables.DOMAIN_TOKENS, 3, UNKNOWN_NOT_MAPPED))
+def domain_category(column: str) -> Column:
+    fallback = _case(
+        [(_matches(column, tables.GOOGLE_FALLBACK_PATTERN), _text(tables.GOOGLE_FALLBACK_CATEGORY))],
+        _text(UNKNOWN_NOT_MAPPED),
     )
+    google = _last_pattern(column, tables.GOOGLE_PATTERNS, tables.GOOGLE_FOLDS, fallback)
+    facebook = _last_pattern(column, tables.FACEBOOK_PATTERNS, tables.FACEBOOK_FOLDS, _text(UNKNOWN_NOT_MAPPED))
+    return _domain_case(column, google, facebook, 3)
 
 
-def address_org(ip: Column | str) -> Column:
-    return _first_token(as_col(ip), tables.ADDRESS_TOKENS, 2, UNKNOWN_NO_DNS)
+def address_org(column: str) -> Column:
+    return F.expr(_first_token(column, tables.ADDRESS_TOKENS, 2, UNKNOWN_NO_DNS))
 
 
-def address_category(ip: Column | str) -> Column:
-    return _first_token(as_col(ip), tables.ADDRESS_TOKENS, 3, UNKNOWN_NO_DNS)
+def address_category(column: str) -> Column:
+    return F.expr(_first_token(column, tables.ADDRESS_TOKENS, 3, UNKNOWN_NO_DNS))
 
 
 def name_spells_address(ip: Column | str, fqdn: Column | str) -> Column:

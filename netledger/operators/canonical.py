@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -188,15 +189,19 @@ def stitch_flows(flows: DataFrame, tolerance_seconds: float = 1.0, bucket_unit:
     keys = ["user_id", "user_port", "dest_port", "protocol"]
     order = ["start_ts", "flow_id"]
     bucket = time_bucket("start_ts", bucket_unit)
-    known = flows.dropna(subset=keys)
+    known = flows.dropna(subset=[*keys, "start_ts"])
     linked = prefix_scan(known, keys, order, bucket, lasts={"__prev_end": F.col("end_ts")}, inclusive=False)
     apart = F.abs(micros_between("__prev_end", "start_ts"))
     fresh = F.col("__prev_end").isNull() | (apart > int(tolerance_seconds * 1_000_000))
     numbered = sessions(linked, keys, order, bucket, fresh, "__part")
     first = F.struct(*order)
-    return numbered.groupBy(*keys, "__part").agg(
+    stitched = numbered.groupBy(*keys, "__part").agg(
         F.min_by("flow_id", first).alias("flow_id"), F.min("start_ts").alias("start_ts"),
         F.max_by("end_ts", first).alias("end_ts"), F.min_by("dest_ip", first).alias("dest_ip"),
         F.sum("bytes_up").alias("bytes_up"), F.sum("bytes_down").alias("bytes_down"),
         F.count("*").alias("parts"),
     ).drop("__part")
+    # A flow without user, ports or start has no continuation.
+    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*keys, "start_ts")])
+    alone = flows.where(incomplete).withColumn("parts", F.lit(1).cast("bigint"))
+    return stitched.unionByName(alone.select(*stitched.columns))

@@ -23,8 +23,8 @@ def attribute_dns(flows: DataFrame, dns: DataFrame, bucket_unit: str = "hour") -
     Three kinds of rows share one order per (user, address): every answer, the first answer of every distinct name
     (these alone count), and the flows that look back.
     """
-    known = dns.where(F.col("domain_name").isNotNull()).dropna(subset=["user_id", "ip_address"])
-    keyed = flows.dropna(subset=["user_id", "dest_ip"])
+    known = dns.dropna(subset=["user_id", "ip_address", "domain_name", "ts"])
+    keyed = flows.dropna(subset=["user_id", "dest_ip", "start_ts"])
     none = lambda kind: F.lit(None).cast(kind)
     flow_cols = [c for c in flows.columns if c not in ("user_id", "dest_ip")]
     payload = F.struct(*flow_cols)
@@ -57,7 +57,8 @@ def attribute_dns(flows: DataFrame, dns: DataFrame, bucket_unit: str = "hour") -
         F.when(F.col("fqdn").isNotNull(), F.col("__told")).cast("int").alias("ambiguous_fqdn_count"),
         F.when(F.col("fqdn").isNotNull(), F.lit("user_dns_log")).alias("fqdn_source"),
     )
-    unkeyed = flows.where(F.col("user_id").isNull() | F.col("dest_ip").isNull()).select(
+    incomplete = F.col("user_id").isNull() | F.col("dest_ip").isNull() | F.col("start_ts").isNull()
+    unkeyed = flows.where(incomplete).select(
         "*", none("string").alias("fqdn"), none("int").alias("ambiguous_fqdn_count"),
         none("string").alias("fqdn_source"),
     )

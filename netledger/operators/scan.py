@@ -48,7 +48,7 @@ def prefix_scan(
 ) -> DataFrame:
     """Add running sums, maxima, minima and last-non-null values per key in the given total order.
 
-    keys must be non-null (drop NULL keys first); bucket must be a non-decreasing function of order[0]. With
+    keys and order[0] must be non-null (handle such rows first); bucket must be a non-decreasing function of order[0]. With
     inclusive=False a row sees only the rows before it. With reverse=True the scan runs from the end. For very fine
     buckets, coarser maps a bucket to a wider one: the summaries are then scanned on two levels as well.
     """

@@ -11,8 +11,9 @@ from netledger.operators.scan import prefix_scan, value_bucket
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per distinct non-null value (and key): pre-aggregated before the shuffle, whatever the skew."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("base_count"))
+    """Rows per distinct value (and key; no NULL, no NaN): pre-aggregated before the shuffle, whatever the skew."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.where(known).groupBy(*keys, value).agg(F.count("*").alias("base_count"))
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
