@@ -1013,9 +1013,8 @@ oracle("online_vs_usage", ["usage"], f"""
 SELECT user_id, days_online, {_r('online_ratio', 'online_ratio')}, {_r('mb_per_online_day', 'mb_per_online_day')}
 FROM usage""")
 oracle("online_vs_usage_fit", ["usage"], _fits("usage", "mb_per_online_day", "online_ratio"))
-oracle("users_without_dns", ["fx_flows", "fx_dns"], """
-SELECT DISTINCT user_id FROM fx_flows WHERE user_id NOT IN (
-  SELECT user_id FROM fx_dns WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05')""")
+oracle("users_without_dns", ["fx_daily", "fx_dns"], """
+SELECT DISTINCT user_id FROM fx_daily WHERE user_id NOT IN (SELECT user_id FROM fx_dns)""")
 oracle("top_hosts", ["fx_dns"], """
 SELECT domain_name, count(*) AS accesses FROM fx_dns WHERE domain_name <> 'www.google.com' GROUP BY 1""")
 oracle("top_hosts_containing", ["fx_dns"], """

@@ -379,9 +379,7 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "online_vs_usage_fit": lambda s: traffic.two_fits(
         users.online_vs_usage(s.flows, s.eligible), "mb_per_online_day", "online_ratio"
     ),
-    "users_without_dns": lambda s: users.users_without_dns(
-        s.flows, canonical.trim(s.dns, "ts", P.min_date, datetime(2024, 1, 5))
-    ),
+    "users_without_dns": lambda s: users.users_without_dns(s.daily, s.dns),
     "top_hosts": lambda s: users.top_hosts(s.dns, exclude=("www.google.com",)),
     "top_hosts_containing": lambda s: users.top_hosts(s.dns, containing="cdn"),
     # finance
