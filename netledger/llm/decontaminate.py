@@ -178,9 +178,8 @@ class ItemIndex:
                 tail = rows[np.repeat(left, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
                 begin = np.repeat(at, times) - self.offset[tail]  # where the item would begin
                 candidates.append(np.stack([words.text[np.repeat(at, times)], self.item[tail], begin], axis=1))
-        if not candidates:
-            return []
-        return self._verify(words, np.unique(np.concatenate(candidates), axis=0))
+        met = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *candidates]), axis=0)
+        return self._verify(words, met) if len(met) else []
 
     def _verify(self, words: Words, candidates: np.ndarray) -> list[tuple[int, int, int, int]]:
         found: dict[tuple[int, int], tuple[int, int]] = {}
