@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netledger.llm import bpe, decontaminate, jaccard, pii, quality
+from netledger.llm import bpe, decontaminate, fingerprint, html_text, jaccard, pii, quality, toxicity, warc, wordpiece
 from netledger.llm.shipping import ship_package
+from netledger.llm.storage import stage_path
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECE_RANKS = "byte_bpe_50k.tiktoken"
 #: Least probability of grade 1 or better for a document to be kept.
 KEEP_FROM = 0.5
 
@@ -40,6 +42,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of words, word pieces and unknown words of every document."""
+    return wordpiece.count_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_RANKS))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, group and number of links of every document."""
     return jaccard.ngram_join(_table(spark, sf_dir, "documents"))
@@ -51,6 +63,28 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(BPE_RANKS), bpe.digests, bpe.DIGEST_FIELDS)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives it was written to."""
+    return warc.report(_table(spark, sf_dir, "pages"), stage_path(spark, "warc"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learned = labels.filter(~quality.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, learned)
+    scored = docs.select("doc_id", toxicity.scores(model, spark, F.col("text")).alias("score"))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return fingerprint.with_edits(_table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -60,7 +94,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_quality, op2_pii, op3_decontaminate, op6_ngram_join, op7_bpe)}
+QUERIES = {q.__name__: _shipped(q) for q in (
+    op1_quality, op2_pii, op3_decontaminate, op4_token_counts, op5_html, op6_ngram_join, op7_bpe, op8_warc, op9_toxicity,
+    op10_fingerprints,
+)}
 
 #: SQL where it can express the operator; see tests/llm for the brute-force checks of the others.
 ORACLES: dict[str, str] = {}
