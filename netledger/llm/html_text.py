@@ -27,8 +27,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netledger.llm.storage import stage
+
 MIN_PAGES = 4
 SHARE = 0.01
+#: Parts that the pages of a host are dealt to where the templates are too large to be broadcast.
+SALTS = 32
 #: Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -266,9 +270,14 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars per page row."""
-    hosts = templates(pages, min_pages, share)
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    joined = rows.join(hosts, "host", "left").select("page_id", "url", "html", "template")
+    # Written first, so that Spark knows its size: small templates are broadcast, larger ones joined on host and salt.
+    hosts = stage(templates(pages, min_pages, share), "templates").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = pages.select(
+        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"),
+        F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int").alias("salt"),
+    )
+    joined = rows.join(hosts, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, set[int]] = {}
