@@ -7,9 +7,8 @@ say. The disclosure of a term is its largest PMI / IC over the entities that it
 different texts (n_te counts documents in which it does). Terms that reach GENERALISE are generalised to their kind
 (<name>, <number>, <term>), those that reach REMOVE are removed, wherever they stand.
 
-Work: one pass finds base spans and the words near them; one pass looks up the terms that can still reach the threshold
-(n_t is at least the number of documents where t is near any entity) and counts their documents; a join marks the texts.
-All counts cover all documents.
+Work: one pass finds base spans and the words near them; one pass counts the documents of every word (aggregated before the
+shuffle); one pass looks up the few flagged terms; a join marks the texts. All counts cover all documents.
 
 Defined cases: a null text is an empty one; empty texts have no spans; repeated rows give one row each; an entity that is in every
 document has nothing left to reveal and flags no term; copies of one text count as one text for MIN_TEXTS.
@@ -134,28 +133,23 @@ def disclosing_terms(seen: DataFrame, docs: DataFrame, generalise: float = GENER
     )
     pairs = pair_docs.groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("texts"))
     entities = pairs.filter("term = ''").select("entity", F.col("n_te").alias("n_e"))
-    # A document may stand near several entities, so this is a bound from below for n_t only with the largest count.
-    least = pairs.filter("term <> ''").groupBy("term").agg(F.max("n_te").alias("n_t_least"))
     total = F.lit(float(max(n, 1)))
     information = F.log(total / F.col("n_e"))
     ratio = lambda n_t: F.log(total * F.col("n_te") / (n_t * F.col("n_e"))) / information
     hopeful = stage(
         pairs.filter((F.col("term") != "") & (F.col("texts") >= min_texts)).join(entities, "entity").filter("n_e < " + str(n))
-        .join(least, "term").filter(ratio(F.col("n_t_least")) >= generalise)
         .select("term", "entity", "n_te", "n_e"), "hopeful",
     )
-    wanted = hopeful.select("term").distinct()
     words = docs.select(
         F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"),
         F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"),
     ).filter(F.length("term") > 2)
-    places = stage(words.join(wanted, "term", "left_semi"), "places")
-    counted = places.groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = words.groupBy("term").agg(F.count("*").alias("n_t"))
     terms = stage(
         hopeful.join(counted, "term").withColumn("disclosure", ratio(F.col("n_t")))
         .groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= generalise), "terms",
     )
-    return terms, places.join(terms.select("term"), "term", "left_semi")
+    return terms, words.join(terms.select("term"), "term", "left_semi")
 
 
 def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
