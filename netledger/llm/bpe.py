@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from netledger.llm.textops import U64, Codes, SpanHash, class_table, mix, passes, ragged
 
 CHUNK_CHARS = 4_000_000
-#: Parts that a chunk's list of words is split into; at least the number of shuffle partitions wanted.
+#: Parts that a chunk's list of words is split into, at least; four times the shuffle partitions if that is more.
 BUCKETS = 1024
 #: Endings that the pre-token pattern splits off after an apostrophe.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -206,13 +206,14 @@ def _split_list(packed: bytes, count: int) -> list[bytes]:
     return [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def encode(docs: DataFrame, ranks_path: str, emit, fields: str, buckets: int = BUCKETS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, emit, fields: str, buckets: int | None = None) -> DataFrame:
     """Token ids of every document, handed to emit(doc_ids, ids, bounds, token_bytes) chunk by chunk.
 
     ids is one array for all documents of the chunk (document i: ids[bounds[i]:bounds[i + 1]]); token_bytes is the decoding table
     (see `decode_bytes`). emit returns an Arrow batch of the columns named in fields. The driver reads the rank file
     and sends it to all executors.
     """
+    buckets = buckets or max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary
     docs = docs.select("doc_id", "text")
 
