@@ -42,7 +42,7 @@ def parse_traceroutes(files: DataFrame, dataset: str = "Community Network") -> D
         .where(~is_header(F.col("line")))
         .select("n", "domain", "pos", F.split(F.trim(F.regexp_replace("line", r" ms|[()]", "")), r"\s+").alias("tokens"))
     )
-    times = F.concat(F.slice("tokens", 2, 1), F.slice("tokens", 4, 1_000_000))
+    times = F.concat(F.slice("tokens", 2, 1), F.slice("tokens", F.lit(4), F.greatest(F.size("tokens"), F.lit(1))))
     # Testing the text first is much cheaper than letting a cast fail on every host name and star.
     parsed = hops.withColumn("times", times).withColumn("readable", F.filter("times", lambda t: t.rlike(_NUMBER)))
     unreadable = F.size("times") - F.size("readable")
