@@ -55,16 +55,38 @@ def ipv4_number(ip: Column | str) -> Column:
     return F.when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
 
 
+def ipv6_groups(ip: Column | str) -> Column:
+    """IPv6 text of any spelling as eight four-digit groups in lower case; NULL for anything else.
+
+    "::" stands for as many zero groups as are missing, and the last two groups may be written as an IPv4 address.
+    """
+    text = F.lower(F.trim(as_col(ip)))
+    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    digits = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
+    plain = F.when(tail == "", text).otherwise(
+        F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(digits, 1, 4), F.lit(":"),
+                 F.substring(digits, 5, 4))
+    )
+    halves = F.split(plain, "::")
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    head = groups(F.get(halves, F.lit(0)))
+    rest = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    missing = F.when(F.size(halves) == 2, F.greatest(8 - F.size(head) - F.size(rest), F.lit(1))).otherwise(F.lit(0))
+    joined = F.concat(head, F.array_repeat(F.lit("0"), missing), rest)
+    readable = (F.size(joined) == 8) & F.forall(joined, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(plain.contains(":") & readable, F.array_join(F.transform(joined, lambda g: F.lpad(g, 4, "0")), ":"))
+
+
 def ip_is_local(ip: Column | str) -> Column:
-    """True where the address is not globally reachable; False for unreadable text."""
+    """True where the address is not globally reachable, in any spelling; False for unreadable text."""
     number = ipv4_number(ip)
     local4 = F.lit(False)
     for block in tables.lines(tables.NOT_GLOBAL_IPV4):
         net = ipaddress.ip_network(block)
         local4 = local4 | number.between(int(net.network_address), int(net.broadcast_address))
     pattern6 = "|".join(tables.lines(tables.NOT_GLOBAL_IPV6))
-    local6 = F.lower(as_col(ip)).rlike(pattern6)
-    return F.coalesce(F.when(number.isNotNull(), local4).otherwise(as_col(ip).contains(":") & local6), F.lit(False))
+    local6 = ipv6_groups(ip).rlike(pattern6)
+    return F.coalesce(F.when(number.isNotNull(), local4).otherwise(local6), F.lit(False))
 
 
 def protocol_name(protocol: Column | str, port: Column | str) -> Column:

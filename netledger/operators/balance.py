@@ -120,16 +120,19 @@ def history_with_marks(events: DataFrame, ranges: DataFrame, unit: str = "hour")
 
 
 def tare_offsets(history: DataFrame, unit: str = "hour") -> DataFrame:
-    """Correction at each zero mark: the drop of the lowest later balance since the previous mark of the user."""
+    """Correction at each zero mark: the drop of the lowest later balance since the previous mark of the user.
+
+    Each scan hands a written table to the next one (low points, then marks only), so that none is evaluated twice.
+    """
     running = prefix_scan(
         history, ["user_id"], _ORDER, _bucket("ts", unit), sums={"balance": F.col("net_bytes")}
     )
-    lowpoints = running.where(
+    lowpoints = materialise(running.where(
         (F.col("type") == "tare") | ((F.col("type") == "ext") & (F.col("bytes_down") > 0))
-    ).select("user_id", *_ORDER, "type", "balance")
-    ahead = prefix_scan(
+    ).select("user_id", *_ORDER, "type", "balance"), "lowpoints")
+    ahead = materialise(prefix_scan(
         lowpoints, ["user_id"], _ORDER, _bucket("ts", unit), mins={"low_ahead": F.col("balance")}, reverse=True
-    ).where(F.col("type") == "tare").drop("balance")
+    ).where(F.col("type") == "tare").drop("balance"), "marks")
     stepped = prefix_scan(
         ahead, ["user_id"], _ORDER, _bucket("ts", unit), lasts={"__prev": F.col("low_ahead")}, inclusive=False
     )

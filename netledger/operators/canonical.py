@@ -11,6 +11,7 @@ from netledger.functions.naming import qualify_domain
 from netledger.functions.timebins import in_range, micros_between
 from netledger.operators.scan import prefix_scan, sessions, time_bucket
 from netledger.params import LOCAL_UTC_OFFSET_HOURS, NO_USER
+from netledger.session import materialise
 
 
 def flow_route() -> Column:
@@ -118,12 +119,20 @@ def rejected_dns(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reject_reason", state).where(state.isin("malformed", "bad"))
 
 
-def deduplicate(archives: list[DataFrame]) -> DataFrame:
-    """Union of overlapping archives without exact copies (the time columns count)."""
+def deduplicate(archives: list[DataFrame], number: str = "rec_id") -> DataFrame:
+    """Union of overlapping archives without copies (the time columns count).
+
+    The record number is not compared, as every archive may number its records anew: the smallest number of the copies
+    stays. A record without any number gets one from its contents, the same in every run.
+    """
     union = archives[0]
     for other in archives[1:]:
         union = union.unionByName(other)
-    return union.dropDuplicates()
+    if number not in union.columns:
+        return union.dropDuplicates()
+    contents = [c for c in union.columns if c != number]
+    distinct = union.groupBy(*contents).agg(F.min(number).alias(number))
+    return distinct.withColumn(number, F.coalesce(number, F.xxhash64(*contents))).select(*union.columns)
 
 
 def deduplication_report(archives: list[DataFrame]) -> DataFrame:
@@ -190,7 +199,10 @@ def stitch_flows(flows: DataFrame, tolerance_seconds: float = 1.0, bucket_unit:
     order = ["start_ts", "flow_id"]
     bucket = time_bucket("start_ts", bucket_unit)
     known = flows.dropna(subset=[*keys, "start_ts"])
-    linked = prefix_scan(known, keys, order, bucket, lasts={"__prev_end": F.col("end_ts")}, inclusive=False)
+    # Written, since the second scan reads it twice.
+    linked = materialise(
+        prefix_scan(known, keys, order, bucket, lasts={"__prev_end": F.col("end_ts")}, inclusive=False), "linked"
+    )
     apart = F.abs(micros_between("__prev_end", "start_ts"))
     fresh = F.col("__prev_end").isNull() | (apart > int(tolerance_seconds * 1_000_000))
     numbered = sessions(linked, keys, order, bucket, fresh, "__part")

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netledger.functions.timebins import day_of, micros_between, ntz, seconds_between
-from netledger.operators.scan import prefix_scan, running_minimum_of_sum, sessions, time_bucket
+from netledger.operators.scan import prefix_scan, running_minimum_of_sum, time_bucket
+from netledger.session import materialise
 
 LEDGER_ORDER = ["ts", "txn_id", "leg"]
 
@@ -122,23 +123,26 @@ def consolidate_purchases(txns: DataFrame, gap_seconds: int = 60, bucket_unit: s
     """Join purchases that follow the previous one of the user within less than gap_seconds.
 
     Keeps the first time, sums the amounts, and gives the time since the first purchase of the previous group.
+    Three scans follow each other; what one hands to the next is written, so that none evaluates an earlier one again.
     """
     order = ["ts", "txn_id"]
     bucket = time_bucket("ts", bucket_unit)
     purchases = txns.where((F.col("kind") == "purchase") & F.col("user_id").isNotNull()).select(
         "user_id", "txn_id", "ts", "amount_bytes", "amount_idr"
     )
-    linked = prefix_scan(purchases, ["user_id"], order, bucket, lasts={"__prev": F.col("ts")}, inclusive=False)
+    linked = materialise(
+        prefix_scan(purchases, ["user_id"], order, bucket, lasts={"__prev": F.col("ts")}, inclusive=False), "linked"
+    )
     fresh = F.col("__prev").isNull() | (micros_between("__prev", "ts") >= gap_seconds * 1_000_000)
     # The session start is the latest "fresh" row so far: it identifies the group and is its first purchase.
     opened = F.when(fresh, F.struct("ts", "txn_id"))
     grouped = prefix_scan(linked, ["user_id"], order, bucket, lasts={"__first": opened}).groupBy(
         "user_id", "__first"
     ).agg(F.sum("amount_bytes").alias("amount_bytes"), F.sum("amount_idr").alias("amount_idr"))
-    groups = grouped.select(
+    groups = materialise(grouped.select(
         "user_id", F.col("__first.ts").alias("ts"), F.col("__first.txn_id").alias("txn_id"), "amount_bytes",
         "amount_idr",
-    )
+    ), "groups")
     prior = prefix_scan(groups, ["user_id"], order, bucket, lasts={"__before": F.col("ts")}, inclusive=False)
     return prior.select(
         "user_id", "txn_id", "ts", "amount_bytes", "amount_idr",

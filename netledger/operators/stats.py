@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netledger.operators.scan import prefix_scan, value_bucket
+from netledger.session import materialise
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -17,8 +18,11 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """value_counts with `upto`, the rows up to and including the value, and `total`, the rows of the key."""
-    counts = value_counts(df, value, keys)
+    """value_counts with `upto`, the rows up to and including the value, and `total`, the rows of the key.
+
+    The counts are written once: the scan and the totals read them, and df is evaluated a single time.
+    """
+    counts = materialise(value_counts(df, value, keys), "counts")
     running = prefix_scan(
         counts, keys, [value], value_bucket(value), sums={"upto": F.col("base_count")}, reverse=descending
     )
@@ -48,7 +52,11 @@ def rank_min(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str]
 
 
 def rank_bins(df: DataFrame, rank: str, name: str = "bin", bins: int = 10) -> DataFrame:
-    """Equal-width bins over the range of the ranks, right-open, the last one closed; adds the bin's bounds."""
+    """Equal-width bins over the range of the ranks, right-open, the last one closed; adds the bin's bounds.
+
+    df is written once, as both the range and the rows come from it.
+    """
+    df = materialise(df, "ranked")
     bounds = df.agg(F.struct(F.min(rank).alias("lo"), F.max(rank).alias("hi"))).scalar()
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     index = F.least(F.floor(F.try_divide(F.col(rank) - F.col("__lo"), width)), F.lit(bins - 1))

@@ -11,7 +11,8 @@ second rule is recursive. It is solved without a per-user state machine:
   into it. Drop that part and cut again, since it may have held an island together; when every island starts with a
   seeded flow, all flows that are left are related.
 
-Each round removes rows for good, so the loop ends; every step is a two-level scan that splits hot keys by time.
+Each round removes rows for good, so the loop ends; every step is a two-level scan that splits hot keys by time. A
+5-tuple that lost nothing in a round is settled and leaves the loop, so a round's work is what the last one changed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netledger.functions.timebins import micros_between, plus_seconds
 from netledger.operators.scan import prefix_scan, sessions, time_bucket
 from netledger.params import ICE, PEER_TO_PEER, UNKNOWN_NO_DNS, UNKNOWN_NOT_MAPPED
-from netledger.session import materialise
+from netledger.session import materialise, scratch_path
 
 PEER_ORG = "ICE Peer (Unknown Org)"
 _TUPLE = ["user_id", "user_port", "dest_port", "protocol", "dest_ip"]
@@ -65,19 +66,33 @@ def _seeded(flows: DataFrame, setup_seconds: int, unit: str) -> DataFrame:
     )
 
 
-def _drop_unreached(candidates: DataFrame, grace_seconds: int, unit: str) -> DataFrame:
-    """One round: cut into islands and keep each from its first seeded flow on."""
+def _mark_reached(candidates: DataFrame, grace_seconds: int, unit: str) -> DataFrame:
+    """One round: cut into islands and mark with __kept what each holds from its first seeded flow on."""
     bucket = time_bucket("start_ts", unit)
-    reach = prefix_scan(
+    reach = materialise(prefix_scan(
         candidates, _TUPLE, ["start_ts"], bucket, maxes={"__reach": F.col("end_ts")}, inclusive=False
-    )
+    ), "reach")
     cut = F.col("__reach").isNull() | (plus_seconds("__reach", grace_seconds) <= F.col("start_ts"))
-    islands = sessions(reach, _TUPLE, ["start_ts"], bucket, cut, "__island")
+    islands = materialise(sessions(reach, _TUPLE, ["start_ts"], bucket, cut, "__island"), "islands")
     first_seed = islands.groupBy(*_TUPLE, "__island").agg(
         F.min(F.when(F.col("__seed"), F.col("start_ts"))).alias("__from")
     )
-    kept = islands.join(first_seed, [*_TUPLE, "__island"]).where(F.col("start_ts") >= F.col("__from"))
-    return kept.select(*candidates.columns)
+    kept = F.coalesce(F.col("start_ts") >= F.col("__from"), F.lit(False))
+    return islands.join(first_seed, [*_TUPLE, "__island"]).select(*candidates.columns, kept.alias("__kept"))
+
+
+def _reached(candidates: DataFrame, grace_seconds: int, unit: str) -> DataFrame:
+    """All rounds: the candidates that an unbroken chain connects to a seeded flow."""
+    settled = scratch_path(candidates.sparkSession, "settled")
+    schema = candidates.schema
+    while True:
+        marked = materialise(_mark_reached(candidates, grace_seconds, unit), "marked")
+        changed = marked.where(~F.col("__kept")).select(*_TUPLE).distinct()
+        kept = marked.where("__kept").select(*candidates.columns)
+        kept.join(changed, _TUPLE, "left_anti").select(*schema.names).write.mode("append").parquet(settled)
+        candidates = materialise(kept.join(changed, _TUPLE, "left_semi").select(*schema.names), "open")
+        if candidates.isEmpty():
+            return candidates.sparkSession.read.schema(schema).parquet(settled)
 
 
 def tag_related_flows(flows: DataFrame, setup_seconds: int = 60, grace_seconds: int = 5,
@@ -85,15 +100,7 @@ def tag_related_flows(flows: DataFrame, setup_seconds: int = 60, grace_seconds:
     """Relabel flows related to a STUN/TURN set-up; all other rows and columns stay as they are."""
     labelled = flows.withColumn("__label", related_label())
     keyed = labelled.dropna(subset=_TUPLE)
-    left = materialise(_seeded(keyed, setup_seconds, bucket_unit))
-    count = left.count()
-    while count:
-        smaller = materialise(_drop_unreached(left, grace_seconds, bucket_unit))
-        remaining = smaller.count()
-        left = smaller
-        if remaining == count:
-            break
-        count = remaining
+    left = _reached(materialise(_seeded(keyed, setup_seconds, bucket_unit), "seeded"), grace_seconds, bucket_unit)
     related = left.select(*_TUPLE, "start_ts").withColumn("__related", F.lit(True))
     hit = F.col("__related") & F.col("__label").isNotNull()
     return labelled.join(related, [*_TUPLE, "start_ts"], "left").withColumns(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from netledger.session import materialise
 
 # Log keyword -> transaction kind.
 KINDS = {
@@ -14,7 +16,21 @@ KINDS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    """(line, line_no): numbers follow the log (files by name, then position), however files are cut and packed.
+
+    A task reads a piece of a file in order, so a row's place inside its piece is its place in the file. Numbers have
+    gaps between pieces; only the table of pieces (one row per split of a file) is ordered as a whole.
+    """
+    read = materialise(spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"),
+    ), "lines")
+    pieces = read.groupBy("file", "at").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return read.join(starts, ["file", "at"]).select(
+        "line", (F.col("start") + F.col("place") - F.col("first")).alias("line_no")
+    )
 
 
 def strip_nul(lines: DataFrame, line: str = "line") -> DataFrame:

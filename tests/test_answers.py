@@ -142,7 +142,7 @@ def test_stream_matches_batch(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text("\n".join(records))
     raw = streaming.read_raw_flow_stream(spark, str(tmp_path / "in"))
     query = (
-        streaming.daily_user_bytes(streaming.deduplicated_flows(raw)).writeStream.format("memory")
+        streaming.daily_user_bytes(streaming.deduplicated_flows(raw, "4 hours")).writeStream.format("memory")
         .queryName("daily_bytes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
         .trigger(availableNow=True).start()
     )

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from netledger.functions import naming, rule_tables as rt, traffic_class
 from netledger.operators import canonical, enrich, privacy
+from netledger.schemas import RAW_FLOW
 from netledger.sources import raw_logs, tables, txn_log
+from netledger.streaming import flows
 
 T0 = datetime(2024, 1, 1)
 
@@ -82,6 +84,33 @@ def test_deduplication_is_idempotent_and_keeps_different_times(spark):
     assert once.count() == 2 == canonical.deduplicate([once]).count()
 
 
+def test_archives_with_own_numbers_overlap(spark):
+    schema = "rec_id long, ts timestamp_ntz, x string"
+    first = spark.createDataFrame([(1, T0, "a"), (2, T0, "b"), (None, T0, "c")], schema)
+    second = spark.createDataFrame([(9, T0, "b"), (8, T0, None), (None, T0, "c"), (7, T0, None)], schema)
+    got = {r.x: r.rec_id for r in canonical.deduplicate([first, second]).collect()}
+    assert (got["a"], got["b"], got[None]) == (1, 2, 7) and got["c"] is not None and len(got) == 4
+    assert got == {r.x: r.rec_id for r in canonical.deduplicate([second, first]).collect()}
+
+
+def test_log_lines_are_numbered_in_log_order(spark, tmp_path):
+    for name, first, n in (("a.txt", 0, 10), ("b.txt", 10, 5000), ("c.txt", 5010, 40)):
+        (tmp_path / name).write_text("".join(f"line {i}\n" for i in range(first, first + n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = txn_log.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.line, r.line_no) for r in got] == [(f"line {i}", i) for i in range(5050)]
+
+
+def test_late_flows_are_those_not_stored(spark):
+    raw = spark.createDataFrame(
+        [(i, T0, T0, "u", None, None, "1.1.1.1", 1, 2, n, 7, 6) for i, n in ((1, 5), (2, 5), (3, 6), (4, None))], RAW_FLOW)
+    stored = canonical.typical_flows(raw.where("bytes_a_to_b = 6")).withColumn("start_ts", F.col("start_ts").cast("timestamp"))
+    assert {(r.flow_id, r.bytes_up) for r in flows.late_flows(raw, stored).collect()} == {(1, 5), (4, None)}
+
+
 def test_traceroute(spark, tmp_path):
     (tmp_path / "t.txt").write_text(
         "traceroute to x.org (1.2.3.4), 30 hops max\n 1 gw (10.0.0.1) 3.0 ms 6.0 ms 3.0 ms\n"
@@ -160,6 +189,8 @@ def test_every_domain_token_leads_to_a_label(spark):
     ("10.1.2.3", True), ("192.168.0.1", True), ("100.64.0.1", True), ("172.31.0.1", True), ("172.32.0.1", False),
     ("8.8.8.8", False), ("224.0.0.1", False), ("255.255.255.255", True), ("198.19.0.1", True), ("nonsense", False),
     ("fe80:0000:0000:0000:0000:0000:0000:0001", True), ("2607:f8b0:4005:0805:0000:0000:0000:200e", False),
+    ("::1", True), ("::", True), ("::ffff:10.0.0.1", True), ("2001:DB8::1", True), ("2607:f8b0:4005:805::200e", False),
+    ("fe80::1::2", False), ("::fe80:zz", False), (None, False), ("", False),
 ])
 def test_local_addresses(spark, ip, local):
     assert _values(spark, [ip], naming.ip_is_local("v")) == [local]

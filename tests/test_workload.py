@@ -42,7 +42,8 @@ def _canonical(rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql()) == set(QUERIES)
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(QUERIES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", names)
