@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from netledger.llm.textops import U64, Codes, SpanHash, class_table, mix, passes, ragged
 
 CHUNK_CHARS = 4_000_000
+#: Characters of a chunk that are hashed or compared at a time; bounds the wide arrays of a task.
+BLOCK_CHARS = 500_000
 #: Parts that a chunk's list of words is split into, at least; four times the shuffle partitions if that is more.
 BUCKETS = 1024
 #: Endings that the pre-token pattern splits off after an apostrophe.
@@ -128,6 +130,15 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end_of[i]]] for i in range(n) if alive[i]]
 
 
+def _blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive pre-tokens of at most about BLOCK_CHARS characters (or one longer pre-token)."""
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK_CHARS, "right")))
+        yield a, b
+        a = b
+
+
 class Chunk:
     """Distinct pre-tokens of some texts and, per text, their numbers in order."""
 
@@ -135,13 +146,19 @@ class Chunk:
         batch = Codes(texts)
         self.starts, self.bounds = pretoken_starts(batch)
         ends = np.append(self.starts[1:], len(batch.codes))
-        hashes = SpanHash(mix(batch.codes.astype(U64) + U64(77)))(self.starts, ends)
+        hashes = np.empty(len(self.starts), U64)
+        for a, b in _blocks(self.starts, ends):
+            at = self.starts[a]
+            values = mix(batch.codes[at:ends[b - 1]].astype(U64) + U64(77))
+            hashes[a:b] = SpanHash(values)(self.starts[a:b] - at, ends[a:b] - at)
         distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         length = ends - self.starts
         # Hashes only group; every place is compared with the first place of its group.
-        a, b = ragged(self.starts, length), ragged(self.starts[first][number], length)
-        same_length = (length == length[first][number]).all() if len(length) else True
-        if not same_length or not np.array_equal(batch.codes[a], batch.codes[b]):
+        model = self.starts[first][number]
+        if not np.array_equal(length, length[first][number]) or not all(
+            np.array_equal(batch.codes[self.starts[a]:ends[b - 1]], batch.codes[ragged(model[a:b], length[a:b])])
+            for a, b in _blocks(self.starts, ends)
+        ):
             raise ValueError("two different pre-tokens have the same 64-bit hash")
         bucket = (distinct % U64(buckets)).astype(np.int64)
         order = np.lexsort((distinct, bucket))
