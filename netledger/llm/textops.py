@@ -15,7 +15,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Code points handled per numpy pass; bounds the memory of a task unless one text alone is longer.
-PASS_CHARS = 1_500_000
+PASS_CHARS = 500_000
 CODE_SPACE = 0x110000
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2^64
