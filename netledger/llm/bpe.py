@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from netledger.llm.textops import U64, Codes, SpanHash, class_table, mix, passes, ragged
+from netledger.llm.textops import U64, Codes, SpanHash, class_table, mix, ragged
 
 CHUNK_CHARS = 4_000_000
 #: Characters of a chunk that are hashed or compared at a time; bounds the wide arrays of a task.
@@ -179,7 +179,7 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, list, Chunk]]:
-    """(name, ids, chunk) of consecutive documents, across batch borders up to CHUNK_CHARS."""
+    """(name, ids, chunk) of consecutive documents of up to CHUNK_CHARS; the borders of batches do not matter."""
     ids: list = []
     texts: list[str] = []
     chars = 0
@@ -189,15 +189,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[i
         return chunk.name(ids), list(ids), chunk
 
     for batch in batches:
-        own = batch.column(0).to_pylist()
-        for first, group in passes(batch.column(1).to_pylist(), CHUNK_CHARS):
-            size = sum(map(len, group))
-            if texts and chars + size > CHUNK_CHARS:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
+            if texts and chars + len(text) > CHUNK_CHARS:
                 yield done()
                 ids, texts, chars = [], [], 0
-            ids += own[first:first + len(group)]
-            texts += group
-            chars += size
+            ids.append(doc_id)
+            texts.append(text)
+            chars += len(text)
     if texts:
         yield done()
 

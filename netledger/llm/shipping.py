@@ -1,4 +1,4 @@
-"""Make this package importable in the Python workers of a session."""
+"""Set up a session for the operators whose tasks run Python."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from tempfile import mkdtemp
 
 from pyspark.sql import SparkSession
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Text of an Arrow batch. A batch stands in memory whole, on both sides of the pipe, and 10,000 rows of text can be a partition.
+BATCH_BYTES = 4 << 20
+
 
 @lru_cache(maxsize=8)
 def _ship(application: str) -> str:
@@ -25,5 +29,10 @@ def _ship(application: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to all executors, once per application (addPyFile serves it from the driver)."""
+    """Send the package to all executors, once per application (addPyFile serves it from the driver).
+
+    Arrow batches are limited to BATCH_BYTES unless the session names a limit of its own.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     _ship(spark.sparkContext.applicationId)
