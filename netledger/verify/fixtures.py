@@ -64,7 +64,7 @@ SELECT event_id AS flow_id, ts AS start_ts, ts + INTERVAL '1' SECOND * CAST(floo
        CAST(round(value * 10) AS BIGINT) AS bytes_a_to_b,
        CASE WHEN event_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(round(value * 20) AS BIGINT) END AS bytes_b_to_a,
        CAST(17 AS INT) AS protocol
-FROM events WHERE event_type = 'click'
+FROM events
 """,
     "fx_nouser": """
 SELECT event_id AS flow_id, ts AS start_ts, ts + INTERVAL '1' SECOND * CAST(floor(value) AS INT) AS end_ts,
@@ -74,10 +74,10 @@ SELECT event_id AS flow_id, ts AS start_ts, ts + INTERVAL '1' SECOND * CAST(floo
        CAST(round(value * 10) AS BIGINT) AS bytes_a_to_b,
        CASE WHEN event_id % 4 < 3 THEN CAST(0 AS BIGINT) ELSE CAST(round(value * 5) AS BIGINT) END AS bytes_b_to_a,
        CAST(17 AS INT) AS protocol
-FROM events WHERE event_type = 'error'
+FROM events
 """,
     "fx_dns": """
-SELECT event_id AS dns_id, ts, user_id,
+SELECT event_id AS dns_id, ts + INTERVAL '1' SECOND * CAST(event_id % 7 * 1000 - 1000 AS INT) AS ts, user_id,
        concat(CASE event_id % 8 WHEN 0 THEN '157.240.25.' WHEN 1 THEN '74.125.0.' WHEN 2 THEN '8.8.8.'
                                 WHEN 3 THEN '224.0.0.' WHEN 4 THEN '100.64.0.' WHEN 5 THEN '10.0.0.'
                                 WHEN 6 THEN '202.80.222.' ELSE '192.168.1.' END,
@@ -86,7 +86,7 @@ SELECT event_id AS dns_id, ts, user_id,
             WHEN 2 THEN 'scontent.xx.fbcdn.net' WHEN 3 THEN 'graph.facebook.com' WHEN 4 THEN 'mmg.whatsapp.net'
             WHEN 5 THEN 'video.twimg.com' WHEN 6 THEN 'cdn.tiktokcdn.com' WHEN 7 THEN 'health.example.co.id'
             WHEN 8 THEN 'id.example.org' WHEN 9 THEN 'd1.cloudfront.net' ELSE 'unmapped.example.net' END AS domain_name
-FROM events WHERE event_type IN ('view', 'click')
+FROM events
 """,
     "fx_transactions": """
 SELECT event_id AS txn_id, ts,
@@ -121,7 +121,7 @@ SELECT event_id AS rec_id, ts,
        concat('h', CAST(event_id % 30 AS STRING), '.example.com') AS host,
        split(CASE event_id % 3 WHEN 0 THEN '5.5.5.1' WHEN 1 THEN '5.5.5.1,5.5.5.2' ELSE '5.5.5.1,5.5.5.2,5.5.5.3' END, ',') AS response_addresses,
        split(CASE event_id % 2 WHEN 0 THEN '60' ELSE '60,120' END, ',') AS response_ttls
-FROM events WHERE event_type IN ('view', 'click')
+FROM events
 """,
     "fx_txn_log": """
 SELECT event_id AS line_no,
@@ -161,12 +161,12 @@ FROM fx_txn_log
 """
 VIEWS["fx_traceroutes"] = """
 SELECT concat('trace-', CAST(flow_id AS STRING)) AS file,
-       concat('traceroute to ', fqdn, ' (', dest_ip, '), 30 hops max', chr(10),
+       concat('traceroute to ', CASE WHEN fqdn = '' THEN dest_ip ELSE fqdn END, ' (', dest_ip, '), 30 hops max', chr(10),
               ' 1 gw (10.0.0.1) ', CAST(flow_id % 50 AS STRING), '.5 ms ', CAST(flow_id % 7 AS STRING), '.25 ms ',
               CAST(flow_id % 3 AS STRING), '.0 ms', chr(10),
               ' 2 hop (', dest_ip, ') ', CAST(flow_id % 90 AS STRING), '.5 ms * ', CAST(flow_id % 11 AS STRING),
               '.0 ms', chr(10), ' 3 * * *', chr(10)) AS content
-FROM fx_flows WHERE fqdn <> ''
+FROM fx_flows
 """
 VIEWS["fx_prepared_traces"] = """
 SELECT 'Prepared' AS dataset, fqdn AS domain, CAST(flow_id % 9 AS INT) AS hop, dest_ip AS ip,

@@ -442,11 +442,11 @@ oracle("org_week_export", ["daily_org", "fx_reseller_txns"], _ORG_WEEK)
 oracle("org_week_mean", ["daily_org", "fx_reseller_txns"], _ORG_WEEK)
 oracle("traceroute_latency", ["fx_flows", "fx_prepared_traces"], """
 SELECT *, dataset || ', ' || domain AS unique_name FROM (
-  SELECT 'Community Network' AS dataset, fqdn AS domain, CAST(1 AS INT) AS hop, '10.0.0.1' AS ip,
+  SELECT 'Community Network' AS dataset, CASE WHEN fqdn = '' THEN dest_ip ELSE fqdn END AS domain, CAST(1 AS INT) AS hop, '10.0.0.1' AS ip,
          (flow_id % 50 + 0.5 + flow_id % 7 + 0.25 + flow_id % 3)::DOUBLE / 2 AS latency, CAST(0 AS INT) AS last_hop
-  FROM fx_flows WHERE fqdn <> ''
-  UNION ALL SELECT 'Community Network', fqdn, 2, dest_ip, (flow_id % 90 + 0.5 + flow_id % 11)::DOUBLE, 0
-  FROM fx_flows WHERE fqdn <> ''
+  FROM fx_flows
+  UNION ALL SELECT 'Community Network', CASE WHEN fqdn = '' THEN dest_ip ELSE fqdn END, 2, dest_ip, (flow_id % 90 + 0.5 + flow_id % 11)::DOUBLE, 0
+  FROM fx_flows
   UNION ALL SELECT dataset, domain, hop, ip, latency, last_hop FROM fx_prepared_traces WHERE latency IS NOT NULL)""")
 
 # --- cleaning ------------------------------------------------------------------------------------------------------
