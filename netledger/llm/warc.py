@@ -201,7 +201,9 @@ class WarcReader(DataSourceReader):
                 if length > taken:
                     f.seek(at + taken)
                     rest = f.read(length - taken)
-                    block += inflate.decompress(inflate.unconsumed_tail + rest) if self._needs(found) or not length else b""
+                    # The HTTP head holds the payload's size; where it is cut off, the rest is needed as well.
+                    if self._needs(found) or b"\r\n\r\n" not in block:
+                        block += inflate.decompress(inflate.unconsumed_tail + rest)
                 elif length:
                     block += inflate.decompress(inflate.unconsumed_tail)
                 else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import random
@@ -361,6 +362,11 @@ def test_warc(spark, tmp_path):
         assert got[i] == (len((t or "").encode()), sha(t), "revisit" if i in first else "response", first.get(i))
     some = warc.read(spark, path, "page_id bigint, record_type string").filter("record_type = 'revisit'")
     assert not re.search(r"\bFilter \(", some._jdf.queryExecution().executedPlan().toString()) and some.count() == 3
+    # Addresses that do not fit into the first bytes read of a record, wherever the reads end.
+    far = base64.b64encode(np.random.default_rng(1).bytes(12_000)).decode()
+    long = spark.createDataFrame([(i, "http://a/" + far[:9_000 + 60 * i], "x" * 200) for i in range(75)],
+                                 "page_id bigint, url string, html string")
+    assert {r["payload_bytes"] for r in warc.report(long, str(tmp_path / "long")).collect()} == {200}
     # A foreign archive: plain gzip members, no manifest, no lengths.
     other = tmp_path / "foreign"
     other.mkdir()
