@@ -10,7 +10,10 @@ scripts, one for the word border), interpolated with shorter contexts; its table
 from a sample of bounded size (SAMPLE_ROWS labelled documents with the smallest hashes of their ids); which words count as
 features is decided on that sample as well. Held-out documents are never learned from.
 
-Tokens with a single reading (plain words) pass through undecoded: their lattice has one path.
+Tokens with a single reading pass through undecoded: their lattice has one path. All others are decoded, each distinct one once:
+tokens with a letter doubled, with a look-alike anywhere (at the edge, or nothing but look-alikes) or with signs between letters.
+A word that spaces set apart is up to JOINED neighbouring tokens that the likeliest way of splitting the text takes as one word, at
+a cost for each space, or any number of single characters.
 
 Defined cases: a null text is an empty one; texts without known words get the score of the bias; repeated rows get the same score
 each; without any labelled document, or with one label only, the model scores the rate of that label (0 without any).
@@ -19,7 +22,7 @@ each; without any labelled document, or with one label only, the model scores th
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -41,8 +44,9 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "¢": "c",
 }
-#: Look-alikes that may begin or end a word; the others count only inside.
-_EDGE = "@$€£§¢"
+#: Largest number of neighbouring tokens that are tried as one word.
+JOINED = 6
+_COST_SPACE = -4.0
 _COST_LOOKALIKE, _COST_NOISE, _COST_LETTER_AS_NOISE = -0.7, -2.5, -30.0
 
 
@@ -112,6 +116,25 @@ class LetterModel:
             p = (n + weight * p) / (n.sum(-1, keepdims=True) + weight)
         self.log = np.log(p).astype(np.float32)
 
+    def words(self, letters: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """log P of the words letters[start:end] with the border after them, for folded letters."""
+        flat, back = self.log.reshape(-1), [np.append(np.zeros(k, np.int64), letters)[: len(letters)] for k in (1, 2, 3)]
+        context = [np.zeros_like(letters), back[0], back[1] * LETTERS + back[0], (back[2] * LETTERS + back[1]) * LETTERS + back[0]]
+        by_length = [flat[c * LETTERS + letters].astype(np.float64) for c in context]
+        sums = np.append([0.0], np.cumsum(by_length[3]))
+        after = [(c * LETTERS + letters) % LETTERS**3 for c in context]  # context of what follows a word of 1, 2, 3 letters
+        ends = [flat[c * LETTERS].astype(np.float64) for c in after[:3]]
+
+        def score(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            n, last = end - start, len(letters) - 1
+            out = sums[end] - sums[np.minimum(start + 3, end)]
+            for k in range(3):
+                out += np.where(n > k, by_length[k][np.minimum(start + k, last)], 0.0)
+            at = np.maximum(end - 1, 0)
+            return out + np.select([n == 1, n == 2, n > 2], [e[at] for e in ends], float(flat[0]))
+
+        return score
+
 
 def _options(token: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each run of equal characters, what it may stand for and at what cost."""
@@ -120,10 +143,10 @@ def _options(token: str) -> list[list[tuple[str, float]]]:
     at = 0
     while at < len(token):
         char, end = token[at], at + 1
-        while end < len(token) and token[end] == char:
+        code = int(fold[ord(char)])
+        while end < len(token) and (token[end] == char or 0 < code < 27 and fold[ord(token[end])] == code):
             end += 1
         run, at = end - at, end
-        code = int(fold[ord(char)])
         if code:
             letter = chr(96 + code) if code < 27 else char
             if run == 1:
@@ -142,12 +165,15 @@ def _options(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: LetterModel) -> str:
-    """The likeliest plain word behind a token; states are the last three letters."""
+    """The likeliest plain word behind a token; states are the last three letters, with the way they were reached."""
+    lattice = _options(token)
+    if all(len(options) == 1 for options in lattice):
+        return "".join(options[0][0] for options in lattice)
     table = model.log
     number = lambda x: ord(x) - 96 if "a" <= x <= "z" else 27
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    for options in _options(token):
-        after: dict[tuple[int, int, int], tuple[float, str]] = {}
+    states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
+    for options in lattice:
+        after: dict[tuple[int, int, int], tuple[float, tuple]] = {}
         for (a, b, c), (score, text) in states.items():
             for letters, cost in options:
                 x, y, z, s = a, b, c, score + cost
@@ -157,34 +183,46 @@ def decode(token: str, model: LetterModel) -> str:
                     x, y, z = y, z, k
                 best = after.get((x, y, z))
                 if best is None or s > best[0]:
-                    after[x, y, z] = (s, text + letters)
+                    after[x, y, z] = (s, (text, letters) if letters else text)
         states = after
-    return max((score + float(table[a, b, c, 0]), text) for (a, b, c), (score, text) in states.items())[1]
+    way = max(((score + float(table[a, b, c, 0]), text) for (a, b, c), (score, text) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while way:
+        way, letters = way
+        out.append(letters)
+    return "".join(reversed(out))
+
 
+@lru_cache(maxsize=1)
+def _reading_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Folded letter of each code point, look-alikes read as the first and as the last letter that they may stand for."""
+    tables = fold_table().copy(), fold_table().copy()
+    for char, letters in LOOKALIKES.items():
+        for table, letter in zip(tables, (letters[0], letters[-1])):
+            table[ord(char)] = ord(letter) - 96
+    return tables
 
-def disguised(batch: Codes, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Tokens with more than one reading, and the text each is from."""
+
+def disguised(batch: Codes, texts: list[str], model: LetterModel) -> tuple[list[str], np.ndarray]:
+    """Tokens with more than one reading and neighbours that may be one word (with the space between), and the text each is from."""
     codes = batch.codes
     if not len(codes):
         return [], np.zeros(0, np.int64)
-    kind = class_table()[codes]
-    letter = kind == 1
+    kind, fold = class_table()[codes], fold_table()[codes]
+    letter = fold > 0
     start, end, text = batch.runs(kind != 3)
-    same1 = np.append([False], codes[1:] == codes[:-1])
-    same2 = same1 & np.append([False], same1[:-1])
-    edge = np.isin(codes, np.array([ord(c) for c in _EDGE], np.uint32))
-    # Three equal marks or more are decoration, not letters.
-    decoration = same2 | np.append(same2[1:], False) | np.append(same2[2:], [False, False])[: len(codes)]
-    core = np.flatnonzero(letter | (kind == 2) | (edge & ~decoration))
+    marks = np.isin(codes, np.array([ord(c) for c in LOOKALIKES], np.uint32))
+    same = (codes[1:] == codes[:-1]) | ((fold[1:] == fold[:-1]) & (fold[1:] < 27))
+    doubled = np.append([False], same & letter[1:] & letter[:-1])
+    core = np.flatnonzero(letter | (kind == 2) | marks)
     letters = np.concatenate([[0], np.cumsum(letter)])
-    triples = np.concatenate([[0], np.cumsum(same2 & letter)])
+    doubles = np.concatenate([[0], np.cumsum(doubled)])
     left, right = np.searchsorted(core, start), np.searchsorted(core, end) - 1
     has = right >= left
-    first = core[np.minimum(left, max(len(core) - 1, 0))] if len(core) else start
-    last = core[np.maximum(right, 0)] if len(core) else start
+    first = np.where(has, core[np.minimum(left, max(len(core) - 1, 0))] if len(core) else start, start)
+    last = np.where(has, core[np.maximum(right, 0)] if len(core) else start, start)
     inside = letters[last + 1] - letters[first]
-    odd = has & (inside > 0) & ((inside < last - first + 1) | (triples[end] - triples[start] > 0))
-    pick = np.flatnonzero(odd)
+    pick = np.flatnonzero(has & ((inside < last - first + 1) | (doubles[last + 1] - doubles[first + 1] > 0)))
     joined = "".join(texts)
     found = [joined[a:b + 1] for a, b in zip(first[pick].tolist(), last[pick].tolist())]
     owner = [text[pick]]
@@ -196,9 +234,58 @@ def disguised(batch: Codes, texts: list[str]) -> tuple[list[str], np.ndarray]:
     spaced = stops - begins >= 2
     for a, b in zip(begins[spaced].tolist(), stops[spaced].tolist()):
         if letter[start[a:b + 1]].sum() >= 2:
-            found.append("".join(joined[start[k]] for k in range(a, b + 1)))
+            found.append(joined[start[a]:end[b]])
             owner.append(text[a:a + 1])
-    return found, np.concatenate(owner)
+    begin, stop = _set_apart(codes, start, end, text, first, last, has, letters, model)
+    found += [joined[a:b + 1] for a, b in zip(first[begin].tolist(), last[stop].tolist())]
+    return found, np.concatenate([*owner, text[begin]])
+
+
+def _set_apart(codes: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray,
+               has: np.ndarray, letters: np.ndarray, model: LetterModel) -> tuple[np.ndarray, np.ndarray]:
+    """First and last tokens of the runs of up to JOINED tokens that the likeliest reading of each text takes as one word."""
+    n = len(start)
+    # Tokens that nothing but white space parts.
+    linked = has[1:] & has[:-1] & (text[1:] == text[:-1]) & (last[:-1] + 1 == end[:-1]) & (first[1:] == start[1:])
+    read = [table[codes].astype(np.int64) for table in _reading_tables()]
+    place = np.concatenate([[0], np.cumsum(read[0] > 0)])
+    if not place[-1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    scorers = [model.words(r[r > 0]) for r in read]
+    score = lambda begin, stop: np.maximum(*[one(begin, stop) for one in scorers])
+    a, b = place[first], place[last + 1]
+    best, whole, chosen = [score(a, b)], np.ones(n, bool), []  # best[w - 1][i]: the tokens i to i + w - 1
+    apart = np.append([0.0], np.cumsum(best[0]))
+    for w in range(2, min(JOINED, n) + 1):
+        m = n - w + 1
+        whole = whole[:m] & linked[w - 2:w - 2 + m]
+        split = np.max([best[k - 1][:m] + best[w - k - 1][k:k + m] for k in range(1, w)], axis=0)
+        one = np.where(whole, score(a[:m], b[w - 1:]) + _COST_SPACE * (w - 1), -np.inf)
+        best.append(np.maximum(one, split))
+        at = np.flatnonzero(one > split)
+        at = at[letters[last[at + w - 1] + 1] > letters[first[at]]]
+        chosen.append((at, at + w, one[at] - (apart[at + w] - apart[at])))
+    begin, stop, gain = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *chosen))
+    # Of runs that overlap, those that make the whole text likeliest.
+    cuts = np.unique(np.concatenate([begin, stop]))
+    order = np.argsort(stop, kind="stable")
+    from_cut, to_cut = np.searchsorted(cuts, begin[order]).tolist(), np.searchsorted(cuts, stop[order]).tolist()
+    value, last_run, k = [0.0] * max(len(cuts), 1), [-1] * max(len(cuts), 1), 0
+    for c in range(1, len(cuts)):
+        value[c] = value[c - 1]
+        while k < len(order) and to_cut[k] == c:
+            if value[from_cut[k]] + gain[order[k]] > value[c]:
+                value[c], last_run[c] = value[from_cut[k]] + gain[order[k]], k
+            k += 1
+    taken, c = [], len(cuts) - 1
+    while c > 0:
+        if last_run[c] < 0:
+            c -= 1
+        else:
+            taken.append(order[last_run[c]])
+            c = from_cut[last_run[c]]
+    taken = np.array(taken[::-1], np.int64)
+    return begin[taken], stop[taken] - 1
 
 
 def word_features(batch: Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -221,29 +308,32 @@ class Restorer:
         self.model, self.memory, self.known = model, memory, {}
 
     def plain(self, token: str) -> str:
+        """The restored form; empty where it is the token itself, whose features the text has already."""
         word = self.known.get(token)
         if word is None:
             if len(self.known) >= self.memory:
                 self.known.clear()
-            word = self.known[token] = decode(token, self.model)
+            word = decode(token, self.model)
+            word = self.known[token] = word if word != token.lower() else ""
         return word
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         batch = Codes(texts)
         hashes, owner = word_features(batch)
-        tokens, of = disguised(batch, texts)
-        if tokens:
-            more, which = word_features(Codes([self.plain(t) for t in tokens]))
-            hashes, owner = np.concatenate([hashes, more]), np.concatenate([owner, of[which]])
+        tokens, of = disguised(batch, texts, self.model)
+        plain = [self.plain(t) for t in tokens]
+        changed = np.flatnonzero(np.fromiter(map(bool, plain), bool, len(plain)))
+        if len(changed):
+            more, which = word_features(Codes([plain[k] for k in changed.tolist()]))
+            hashes, owner = np.concatenate([hashes, more]), np.concatenate([owner, of[changed[which]]])
         return hashes, owner
 
 
 def restore(text: str, model: LetterModel) -> str:
     """The text with every disguised token replaced by its restored form."""
     batch = Codes([text])
-    for token in sorted(set(disguised(batch, [text])[0]), key=len, reverse=True):
-        plain = decode(token, model)
-        text = text.replace(token, plain) if token in text else text.replace(" ".join(token), plain)
+    for token in sorted(set(disguised(batch, [text], model)[0]), key=len, reverse=True):
+        text = text.replace(token, decode(token, model))
     return text
 
 

@@ -19,7 +19,7 @@ from netledger.llm import (
     bpe, decontaminate, fingerprint, graph, html_text, jaccard, pii, quality, queries, storage, toxicity, warc, wordpiece,
 )
 from netledger.llm.shipping import ship_package
-from netledger.llm.textops import Codes
+from netledger.llm.textops import Codes, passes
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, "a", "a", "!!! ???", "x" * 70_000, "word " * 9_000, "é ß 字\n\t\r\n  end ", "one two three four", "one two three four"]
@@ -391,6 +391,28 @@ def test_toxicity(spark):
     assert np.mean([(r["s"] >= 0.5) == (r["toxic"] == 1) for r in rows]) > 0.93
 
 
+def test_toxicity_decodes_every_token_with_more_than_one_reading(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    counts = np.zeros(toxicity.GRAMS, np.int64)
+    for _, group in passes(texts):
+        batch = Codes(group)
+        counts += np.bincount(toxicity.gram_codes(batch.codes, batch.offsets), minlength=toxicity.GRAMS)
+    letters = toxicity.LetterModel(counts)
+    for text, plain in (
+        ("iidiot, stuupid mooron; Iidiot", "idiot, stupid moron; idiot"),
+        ("!diot +rash |oser (lown", "idiot trash loser clown"),
+        ("an id iot, a st upid; tra sh", "an idiot, a stupid; trash"),
+        ("mo r on 1d iot", "moron idiot"),
+    ):
+        assert toxicity.restore(text, letters) == plain
+    assert toxicity.disguised(Codes(["407 $+"]), ["407 $+"], letters)[0] == ["407", "$+"]
+    words = letters.words(np.array([9, 4, 9, 15, 20]))
+    table = letters.log
+    assert np.isclose(words(np.array([0]), np.array([2]))[0], table[0, 0, 0, 9] + table[0, 0, 9, 4] + table[0, 9, 4, 0])
+    assert np.isclose(words(np.array([1]), np.array([5]))[0], table[0, 0, 0, 4] + table[0, 0, 4, 9] + table[0, 4, 9, 15]
+                      + table[4, 9, 15, 20] + table[9, 15, 20, 0], rtol=1e-4)
+
+
 def test_toxicity_edges(spark, odd, none):
     model = toxicity.fit(none, spark.createDataFrame([], "doc_id bigint, label int"))
     assert all(0 <= r[0] <= 1 for r in odd.select(toxicity.scores(model, spark, F.col("text"))).collect())
