@@ -4,8 +4,8 @@ A page is parsed into elements. The subtrees of all elements that hold text are
 hashes are counted per host in Spark, and subtrees that recur on many pages of the host (at least MIN_PAGES and
 SHARE of them) are its template. What remains after removing the template and the parts that markup declares to be no article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is the text. If a page has an article
-or main element, the text is what is inside; there, a recurring subtree is removed only if it mostly consists of links,
-so that a passage which several articles share stays.
+or main element, the text is what is inside; there, a recurring subtree is removed if it mostly consists of links, or else if
+ARTICLE_SHARE of the pages have it inside, so that a passage which some articles share stays.
 
 A host has at most (subtrees per page) / SHARE template hashes, however many pages it has, so its list travels with the
 host and not with every page's subtrees.
@@ -31,6 +31,8 @@ from netledger.llm.storage import stage
 
 MIN_PAGES = 4
 SHARE = 0.01
+#: Share of a host's pages that a subtree must be on to be removed from inside articles.
+ARTICLE_SHARE = 0.5
 #: Parts that the pages of a host are dealt to where the templates are too large to be broadcast.
 SALTS = 32
 #: Element names of the HTML standard by role.
@@ -56,6 +58,7 @@ ASIDE_WORDS = frozenset(
     "newsletter subscribe signup login pagination pager widget widgets toolbar skip".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+_INSIDE = 0x9E3779B97F4A7C15
 NEVER_BY_NAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -207,18 +210,24 @@ def _mostly_links(element: Element) -> bool:
     return element.linked * 2 > element.chars
 
 
-def subtree_hashes(page: str) -> set[int]:
-    """Hashes of the subtrees that may be a template: with text, outside the article or mostly links."""
+def _template_key(element: Element, in_main: bool) -> tuple[int, bool]:
+    """Signed key of a subtree, and whether it is an article's own content; the same subtree outside has another key."""
+    own = in_main and not _mostly_links(element)
+    key = element.hash ^ _INSIDE if own else element.hash
+    return key - (1 << 64) if key >> 63 else key, own
+
+
+def subtree_hashes(page: str) -> set[tuple[int, bool]]:
+    """Keys of the subtrees with text that may be a template, and whether they stand inside an article."""
     found = set()
     for item, in_main, entering in _walk(parse(page)):
         if entering and not isinstance(item, str) and item.chars and item.tag not in ("#page", "html", "body"):
-            if not in_main or _mostly_links(item):
-                found.add(item.hash - (1 << 64) if item.hash >> 63 else item.hash)
+            found.add(_template_key(item, in_main))
     return found
 
 
 def main_text(page: str, template: set[int]) -> str:
-    """Text of the page without the subtrees whose (signed) hash is in the template."""
+    """Text of the page without the subtrees whose key is in the template."""
     out: list[str] = []
     walk = _walk(parse(page))
     try:
@@ -232,8 +241,7 @@ def main_text(page: str, template: set[int]) -> str:
                 if item.tag not in INLINE:
                     out.append(" ")
                 if entering and template and item.chars and item.tag not in ("#page", "html", "body"):
-                    signed = item.hash - (1 << 64) if item.hash >> 63 else item.hash
-                    if signed in template and (not in_main or _mostly_links(item)):
+                    if _template_key(item, in_main)[0] in template:
                         keep = False
             item, in_main, entering = walk.send(keep)
     except StopIteration:
@@ -245,27 +253,31 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template): packed hashes of the subtrees that recur on the host's pages."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
+              article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """(host, template): packed keys of the subtrees that recur on the host's pages."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("hash", pa.int64()), ("own", pa.bool_())])
         for batch in batches:
-            sets = [sorted(subtree_hashes(p)) for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["host", "hashes"])
+            found = batch.column(1).to_pylist()
+            sets = [[{"hash": h, "own": own} for h, own in sorted(subtree_hashes(p))] for p in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(kind))], ["host", "subtrees"])
 
-    per_page = rows.mapInArrow(hashes, "host string, hashes array<bigint>")
+    per_page = rows.mapInArrow(hashes, "host string, subtrees array<struct<hash:bigint,own:boolean>>")
     # Every page gives one row without a hash: their count is the number of pages of the host.
-    counted = (
-        per_page.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("bigint")))).alias("hash"))
-        .groupBy("host", "hash").agg(F.count("*").alias("n"))
-    )
-    of_host = counted.groupBy("host").agg(
-        F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"),
-        F.collect_list(F.when(F.col("hash").isNotNull() & (F.col("n") >= min_pages), F.struct("hash", "n"))).alias("subtrees"),
+    page = F.array(F.struct(F.lit(None).cast("bigint").alias("hash"), F.lit(False).alias("own")))
+    counted = stage(
+        per_page.select("host", F.explode(F.concat("subtrees", page)).alias("s"))
+        .groupBy("host", "s.hash", "s.own").agg(F.count("*").alias("n"))
+        .filter(F.col("hash").isNull() | (F.col("n") >= min_pages)), "counted",
     )
-    wanted = F.filter("subtrees", lambda s: s["n"] >= F.col("pages") * share)
-    return of_host.select("host", F.transform(wanted, lambda s: s["hash"]).alias("template")).filter(F.size("template") > 0)
+    of_host = counted.filter("hash is null").select("host", F.col("n").alias("pages"))
+    least = F.col("pages") * F.when(F.col("own"), F.lit(article_share)).otherwise(F.lit(share))
+    wanted = counted.filter("hash is not null").join(of_host, "host").filter(F.col("n") >= least)
+    return wanted.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:

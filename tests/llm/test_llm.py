@@ -252,6 +252,15 @@ def test_templates_are_learned_per_host(spark):
     assert got[3] == ("Own 3", 5) and got[90] == ("", 0) and got[91] == ("", 0) and got[92] == ("Share 0", 7) and len(got) == 43
 
 
+def test_template_inside_articles(spark):
+    note = "<div class='x1'>Read us every day, best wishes.</div>"
+    shared = "<p>A passage of some articles.</p>"
+    rows = [(k, "http://a.x/p", f"<article><p>Story {k}.</p>{shared if k < 4 else ''}{note}</article>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"Story {k}." + (" A passage of some articles." if k < 4 else "") for k in range(12)}
+
+
 def test_pages_table(spark):
     import html
 
