@@ -2,7 +2,8 @@
 
 A page is parsed into elements. The subtrees of all elements that hold text are hashed (tag, class, id, role, text, children), the
 hashes are counted per host in Spark, and subtrees that recur on many pages of the host (at least MIN_PAGES and
-SHARE of them) are its template. What remains after removing the template and the parts that markup declares to be no article
+SHARE of them) are its template. Pages count by their text outside declared parts, so that copies of a page count once and cannot
+turn its own text into a template. What remains after removing the template and the parts that markup declares to be no article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is the text. If a page has an article
 or main element, the text is what is inside; there, a recurring subtree is removed if it mostly consists of links, or else if
 ARTICLE_SHARE of the pages have it inside, so that a passage which some articles share stays.
@@ -13,7 +14,7 @@ host and not with every page's subtrees.
 Text: character references are decoded, white space is collapsed, blocks are joined by one space in page order.
 
 Defined cases: a null html is an empty page with empty text; a null or broken url belongs to the host ''; repeated rows give one row
-each (and count as pages); unclosed elements end with their parent, an unclosed comment, script or style with the page.
+each (and count as one page); unclosed elements end with their parent, an unclosed comment, script or style with the page.
 """
 
 from __future__ import annotations
@@ -255,7 +256,7 @@ def host_of(url: Column) -> Column:
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
               article_share: float = ARTICLE_SHARE) -> DataFrame:
-    """(host, template): packed keys of the subtrees that recur on the host's pages."""
+    """(host, template): packed keys of the subtrees that recur on the host's different pages."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,15 +264,17 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
         for batch in batches:
             found = batch.column(1).to_pylist()
             sets = [[{"hash": h, "own": own} for h, own in sorted(subtree_hashes(p))] for p in found]
+            bodies = [xxhash.xxh64(main_text(p, set()).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63) for p in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(kind))], ["host", "subtrees"])
+                [batch.column(0), pa.array(bodies, pa.int64()), pa.array(sets, pa.list_(kind))], ["host", "body", "subtrees"])
 
-    per_page = rows.mapInArrow(hashes, "host string, subtrees array<struct<hash:bigint,own:boolean>>")
-    # Every page gives one row without a hash: their count is the number of pages of the host.
+    per_page = rows.mapInArrow(hashes, "host string, body bigint, subtrees array<struct<hash:bigint,own:boolean>>")
+    # Every page gives one row without a hash: their different bodies are the number of pages of the host.
     page = F.array(F.struct(F.lit(None).cast("bigint").alias("hash"), F.lit(False).alias("own")))
     counted = stage(
-        per_page.select("host", F.explode(F.concat("subtrees", page)).alias("s"))
-        .groupBy("host", "s.hash", "s.own").agg(F.count("*").alias("n"))
+        per_page.select("host", "body", F.explode(F.concat("subtrees", page)).alias("s"))
+        .groupBy("host", "s.hash", "s.own", "body").agg(F.lit(1).alias("one"))
+        .groupBy("host", "hash", "own").agg(F.count("*").alias("n"))
         .filter(F.col("hash").isNull() | (F.col("n") >= min_pages)), "counted",
     )
     of_host = counted.filter("hash is null").select("host", F.col("n").alias("pages"))

@@ -261,6 +261,13 @@ def test_template_inside_articles(spark):
     assert got == {k: f"Story {k}." + (" A passage of some articles." if k < 4 else "") for k in range(12)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(k, "http://a.x/p", f"<div><p>The same {'story' if k < 6 else k}.</p><p>It goes on.</p></div>") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"The same {'story' if k < 6 else k}. It goes on." for k in range(8)}
+
+
 def test_pages_table(spark):
     import html
 
