@@ -12,7 +12,8 @@ as long as the tail it is compared with; the walk over a shared prefix of 4, 8,
 items of that size, so one walk per start serves all items.
 
 The number of repetitions is computed from the items themselves: copies of them with as many edits as allowed are embedded,
-and repetitions are added until the target recall is reached on them.
+and repetitions are added until the target recall is reached on those of every size, under the conditions of the search. All items
+take part, in at least COPIES copies per size; if MOST_REPETITIONS do not reach the target, a warning says so.
 
 Verification: smallest number of word insertions, deletions and substitutions that turn the item into some run of words of
 the document; a hit has at most floor(edit_share x words) of them. Every hit is exact, only the search is probabilistic.
@@ -25,6 +26,7 @@ and documents give one row each; empty tables give an empty result.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -40,6 +42,7 @@ EDIT_SHARE = 0.2
 RECALL = 0.99
 SHARD_CHARS = 8_000_000
 SAMPLED_PLACES = 5
+COPIES, MOST_REPETITIONS = 200, 64
 SIZES = (64, 32, 16, 8, 4, 2, 1)
 _NOTHING = U64(0)
 
@@ -123,36 +126,56 @@ class ItemIndex:
     def _anchor(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
         return _pair(words[start], words[start + 1] if size > 1 else _NOTHING * words[start])
 
-    def _repetitions(self, recall: float, most: int = 24) -> int:
-        """As many as find `recall` of edited copies of (up to 400 of) the items by at least one tail."""
-        rng = np.random.default_rng(7)
-        chosen = [i for i, w in enumerate(self.items) if len(w) > 3][:400]
-        if not chosen:
+    def _edited(self, item: np.ndarray, copy: int) -> np.ndarray:
+        """A copy with as many edits as allowed; they depend on the item's words only."""
+        rng = np.random.default_rng([int(mix(item * U64(3) + np.arange(len(item), dtype=U64)).sum()), copy])
+        word = item.tolist()
+        for _ in range(int(self.edit_share * len(item))):
+            at, kind = int(rng.integers(len(word) + 1)), int(rng.integers(3))
+            fresh = int(rng.integers(1, 2**63, dtype=np.int64))
+            word[at:at + (kind != 2)] = [] if kind == 0 else [fresh]
+        return np.array(word, U64)
+
+    def _repetitions(self, recall: float) -> int:
+        """As many as find `recall` of edited copies of the items of every size by at least one tail."""
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(self.items):
+            if int(self.edit_share * len(w)):  # others are found as they are
+                by_size.setdefault(next(s for s in SIZES if s <= len(w)), []).append(i)
+        owner = np.array([i for own in by_size.values() for _ in range(math.ceil(COPIES / len(own))) for i in own], np.int64)
+        if not len(owner):
             return 1
+        group = np.array([next(s for s in SIZES if s <= len(self.items[i])) for i in owner.tolist()], np.int64)
+        made: dict[int, int] = {}
         copies = []
-        for i in chosen:
-            word = list(self.items[i])
-            for _ in range(int(self.edit_share * len(word))):
-                at, kind = int(rng.integers(len(word))), int(rng.integers(3))
-                fresh = rng.integers(1, 2**63, dtype=np.int64).astype(U64)
-                word[at:at + (kind != 2)] = [] if kind == 0 else [fresh]
-            copies.append(np.array(word, U64))
-        found = np.zeros(len(chosen), bool)
-        for r in range(most):
+        for i in owner.tolist():
+            copies.append(self._edited(self.items[i], made.setdefault(i, 0)))
+            made[i] += 1
+        words = np.concatenate(copies)
+        bounds = np.concatenate([[0], np.cumsum([len(c) for c in copies])])
+        copy = np.repeat(np.arange(len(copies)), np.diff(bounds))
+        starts = {}
+        for s, anchors in self.pairs.items():
+            at = np.flatnonzero(np.arange(len(words)) + s <= bounds[copy + 1])
+            starts[s] = at[np.isin(self._anchor(words, at, s), anchors)] if len(at) else at
+        tails = {s: np.flatnonzero(self.size == s) for s in self.pairs}
+        with_item = lambda keys, item: mix(keys ^ mix(item.astype(U64)))
+        found = np.zeros(len(copies), bool)
+        for r in range(MOST_REPETITIONS):
             embedding = Embedding(r)
-            for c, i in enumerate(chosen):
-                if found[c]:
+            for s, at in starts.items():
+                at = at[~found[copy[at]]]
+                if not len(at):
                     continue
-                rows = np.flatnonzero(self.item == i)
-                for s in np.unique(self.size[rows]).tolist():
-                    own = embedding.keys(self.words, self.start[rows[self.size[rows] == s]], s)
-                    starts = np.arange(max(len(copies[c]) - s + 1, 0))
-                    if len(starts) and np.isin(embedding.keys(copies[c], starts, s), own).any():
-                        found[c] = True
-                        break
-            if found.mean() >= recall:
+                own = with_item(embedding.keys(self.words, self.start[tails[s]], s), self.item[tails[s]])
+                hit = np.isin(with_item(embedding.keys(words, at, s), owner[copy[at]]), own)
+                found[copy[at[hit]]] = True
+            worst = min((float(found[group == g].mean()), g) for g in by_size)
+            if worst[0] >= recall:
                 return r + 1
-        return most
+        logging.getLogger(__name__).warning(
+            "%d repetitions find %.4f of the edited items of %d words or more, target %.4f", MOST_REPETITIONS, worst[0], worst[1], recall)
+        return MOST_REPETITIONS
 
     def search(self, words: Words) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, first word) of all items found in the texts of a batch."""

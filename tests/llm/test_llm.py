@@ -183,6 +183,25 @@ def test_contamination_matches_brute_force(spark):
     assert {tuple(r) for r in sharded} >= {k for k, n in want.items() if n == 0}
 
 
+def test_repetitions_suit_the_largest_need(caplog):
+    rng = random.Random(4)
+    item = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    short, long = [item(30) for _ in range(420)], [item(120) for _ in range(60)]
+    many = lambda texts: decontaminate.ItemIndex(list(range(len(texts))), texts, 0.2, 0.99).repetitions
+    assert many(short + long) == many(long + short) >= many(long) > 4
+    index = decontaminate.ItemIndex(list(range(60)), long, 0.2, 0.99)
+    hits = 0
+    for i in range(60):
+        w = long[i].split()
+        for _ in range(24):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at:at + (kind != 2)] = [] if kind == 0 else [f"v{rng.randrange(10**9)}"]
+        hits += any(x[1] == i for x in index.search(decontaminate.Words(Codes([" ".join(w)]))))
+    assert hits >= 58
+    decontaminate.ItemIndex([1], [long[0]], 0.9, 0.99)
+    assert "target" in caplog.text
+
+
 def test_contamination_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four"), (2, ""), (3, None), (1, "one two three four")], "item_id bigint, text string")
     assert sorted(tuple(r)[:2] for r in decontaminate.contaminated(odd, bench).collect()) == [(8, 1), (8, 1), (9, 1), (9, 1)]
