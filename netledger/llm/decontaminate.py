@@ -237,6 +237,12 @@ def _shards(items: DataFrame, shard_chars: int) -> list[DataFrame]:
 def contaminated(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHARE, recall: float = RECALL,
                  shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, item_id, n_edits, n_words (of the item), at_word (about where): one row per document row and item found."""
+    keyed = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("text_key"))
+    return _found(keyed, items, edit_share, recall, shard_chars).drop("text_key")
+
+
+def _found(docs: DataFrame, items: DataFrame, edit_share: float, recall: float, shard_chars: int) -> DataFrame:
+    """The rows of `contaminated` with the text_key of docs (doc_id, text, text_key)."""
 
     def search_with(index: ItemIndex):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +256,8 @@ def contaminated(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHA
                             pa.array([index.ids[i] for i in item], pa.int64()),
                             pa.array(distance.astype(np.int32)),
                             pa.array([len(index.items[i]) for i in item], pa.int32()), pa.array(at.astype(np.int64)),
-                        ], ["doc_id", "item_id", "n_edits", "n_words", "at_word"])
+                            batch.column(2).take(pa.array(text + first)),
+                        ], ["doc_id", "item_id", "n_edits", "n_words", "at_word", "text_key"])
 
         return search
 
@@ -258,13 +265,17 @@ def contaminated(docs: DataFrame, items: DataFrame, edit_share: float = EDIT_SHA
     for shard in _shards(items.select("item_id", "text"), shard_chars):
         rows = shard.collect()  # at most about shard_chars characters
         index = ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], edit_share, recall)
-        found.append(docs.select("doc_id", "text").mapInArrow(
-            search_with(index), "doc_id bigint, item_id bigint, n_edits int, n_words int, at_word bigint"))
+        found.append(docs.mapInArrow(
+            search_with(index), "doc_id bigint, item_id bigint, n_edits int, n_words int, at_word bigint, text_key binary"))
     return reduce(DataFrame.unionByName, found)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item is found; all columns kept. Rows with a null id are judged by their text as well."""
-    hits = stage(contaminated(docs.select(docs["doc_id"], docs["text"]), items), "contaminated")
-    bad = hits.select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents in which no item is found; all columns kept. A row goes by its id and text: rows that share an id, or have
+    none, are judged each by its own text."""
+    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    bad = stage(
+        _found(docs.select(docs["doc_id"], docs["text"], key.alias("text_key")), items, EDIT_SHARE, RECALL, SHARD_CHARS)
+        .select("doc_id", "text_key"), "contaminated",
+    ).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (key == bad["text_key"]), "left_anti")

@@ -202,6 +202,15 @@ def test_repetitions_suit_the_largest_need(caplog):
     assert "target" in caplog.text
 
 
+def test_contaminated_rows_go_by_id_and_text(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, passage), (None, "clean one"), (7, f"so {passage} so"), (7, "clean two"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    kept = {(r["doc_id"], r["text"]) for r in decontaminate.without_contaminated(docs, items).collect()}
+    assert kept == {(None, "clean one"), (7, "clean two"), (8, None)}
+
+
 def test_contamination_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four"), (2, ""), (3, None), (1, "one two three four")], "item_id bigint, text string")
     assert sorted(tuple(r)[:2] for r in decontaminate.contaminated(odd, bench).collect()) == [(8, 1), (8, 1), (9, 1), (9, 1)]
