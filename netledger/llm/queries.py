@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netledger.llm import bpe, decontaminate, fingerprint, html_text, jaccard, pii, quality, toxicity, warc, wordpiece
+from netledger.llm import (
+    bpe, decontaminate, fingerprint, html_text, jaccard, licences, pii, prefix_trie, quality, toxicity, warc, whitening, wordpiece,
+)
 from netledger.llm.shipping import ship_package
 from netledger.llm.storage import stage_path
 
@@ -85,6 +87,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector on the four leading components."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licences.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -96,8 +113,43 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {q.__name__: _shipped(q) for q in (
     op1_quality, op2_pii, op3_decontaminate, op4_token_counts, op5_html, op6_ngram_join, op7_bpe, op8_warc, op9_toxicity,
-    op10_fingerprints,
+    op10_fingerprints, op11_whitening, op12_licences, op13_prefix_trie,
 )}
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END)), 4294967295)"""
+
 #: SQL where it can express the operator; see tests/llm for the brute-force checks of the others.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_prefix_trie": f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+chosen AS (
+    SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE place <= h
+    UNION ALL
+    SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE place > h),
+paths AS (
+    SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS k,
+        length(text) AS chars
+    FROM chosen WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+    UNION ALL
+    SELECT conv_id, 0, '', 0 FROM convs),
+members AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (
+    SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM members GROUP BY k, depth),
+children AS (SELECT left(k, (depth - 1) * 32) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+subtrees AS (
+    SELECT left(k, d * 32) AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY 1)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s ON s.k = c.k LEFT JOIN nodes p ON c.depth > 0 AND p.k = left(c.k, (c.depth - 1) * 32)
+""",
+}
