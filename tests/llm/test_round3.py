@@ -7,12 +7,15 @@ import random
 import zlib
 from collections import defaultdict
 
+from itertools import product
+
 import duckdb
 import numpy as np
 import pytest
 
-from netledger.llm import licences, prefix_trie, queries, whitening
+from netledger.llm import licences, prefix_trie, queries, toxicity, whitening
 from netledger.llm.shipping import ship_package
+from netledger.llm.textops import Codes, passes
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,6 +78,43 @@ def test_whitening_edges(spark):
     assert whitening.whitened(df.limit(0)).count() == 0
 
 
+# -- toxicity -----------------------------------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def letters(spark):
+    return toxicity.LetterModel(toxicity.gram_counts(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+def test_words_set_apart_are_the_same_without_the_bound(spark, letters, monkeypatch):
+    rng = random.Random(3)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(120).collect()]
+    texts += ["".join(c + " " * (rng.random() < 0.3) for c in t[:3000]) for t in texts[:40]]
+    texts += ["", "1 7 | 5 t", "( ( (", "a b c d", "st up id 1d 1ot |oser x", "123 456"]
+    found = lambda: [toxicity.disguised(Codes(group), group, letters)[0] for _, group in passes(texts)]
+    fast = found()
+    monkeypatch.setattr(toxicity, "_may_join", lambda letters, a, b, gap, model: np.ones(len(gap), bool))
+    assert fast == found() and sum(map(len, fast)) > 1000
+
+
+def test_decoding_is_the_best_of_all_paths(letters):
+    rng = random.Random(5)
+    number = lambda x: ord(x) - 96 if "a" <= x <= "z" else 27
+
+    def likelihood(way):
+        state, total = (0, 0, 0), sum(cost for _, cost in way)
+        for letter in "".join(word for word, _ in way) + "\0":
+            k = 0 if letter == "\0" else number(letter)
+            total += float(letters.log[*state, k])
+            state = (*state[1:], k)
+        return total
+
+    for _ in range(60):
+        token = "".join(rng.choice("aehs10$|tti") for _ in range(rng.randint(1, 7)))
+        ways = list(product(*toxicity._options(token)))
+        best = max(map(likelihood, ways))
+        assert any("".join(w for w, _ in way) == toxicity.decode(token, letters) and likelihood(way) >= best - 1e-4 for way in ways)
+
+
 # -- licences -----------------------------------------------------------------------------------------------------------------
 
 def brute_places(text, templates, counts):
