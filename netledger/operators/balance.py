@@ -7,7 +7,7 @@ Every step is a two-level scan per user, so a user with a very long history is s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from netledger.functions.timebins import plus_seconds
 from netledger.operators.activity import restrict_to
@@ -122,23 +122,44 @@ def history_with_marks(events: DataFrame, ranges: DataFrame, unit: str = "hour")
 def tare_offsets(history: DataFrame, unit: str = "hour") -> DataFrame:
     """Correction at each zero mark: the drop of the lowest later balance since the previous mark of the user.
 
-    Each scan hands a written table to the next one (low points, then marks only), so that none is evaluated twice.
+    Three states that build on each other (running balance, lowest low point from here on, that of the mark before) in
+    one two-level scan: inside a bucket each is a window over the balance as counted from the bucket's start, which the
+    balance brought in only shifts; what crosses buckets is decided among one summary row per user and bucket.
     """
-    running = prefix_scan(
-        history, ["user_id"], _ORDER, _bucket("ts", unit), sums={"balance": F.col("net_bytes")}
-    )
-    lowpoints = materialise(running.where(
-        (F.col("type") == "tare") | ((F.col("type") == "ext") & (F.col("bytes_down") > 0))
-    ).select("user_id", *_ORDER, "type", "balance"), "lowpoints")
-    ahead = materialise(prefix_scan(
-        lowpoints, ["user_id"], _ORDER, _bucket("ts", unit), mins={"low_ahead": F.col("balance")}, reverse=True
-    ).where(F.col("type") == "tare").drop("balance"), "marks")
-    stepped = prefix_scan(
-        ahead, ["user_id"], _ORDER, _bucket("ts", unit), lasts={"__prev": F.col("low_ahead")}, inclusive=False
-    )
-    return stepped.select(
-        "user_id", "ts", "event_id", "low_ahead",
-        (F.coalesce("__prev", F.lit(0)) - F.col("low_ahead")).cast("bigint").alias("tare_bytes"),
+    bucket = "__bucket"
+    rows = history.select("user_id", *_ORDER, "type", "net_bytes", _bucket("ts", unit).alias(bucket), (
+        (F.col("type") == "tare") | ((F.col("type") == "ext") & (F.col("bytes_down") > 0))).alias("low"))
+    # One exchange for both readers: rows with their windows, and the summaries made of them.
+    rows = rows.where(F.col("user_id").isNotNull() & F.col(bucket).isNotNull()).repartition("user_id", bucket)
+    spec = Window.partitionBy("user_id", bucket).orderBy(*_ORDER)
+    upto_now, earlier, onward = (
+        spec.rowsBetween(*ends) for ends in (
+            (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1),
+            (Window.currentRow, Window.unboundedFollowing)))
+    mark = F.col("type") == "tare"
+    local = rows.withColumn("run", F.sum("net_bytes").over(upto_now)).withColumn(
+        "ahead", F.min(F.when(F.col("low"), F.col("run"))).over(onward)
+    ).withColumn("prev", F.last(F.when(mark, F.col("ahead")), ignorenulls=True).over(earlier))
+    position = F.when(mark, F.struct(*_ORDER))
+    across = Window.partitionBy("user_id").orderBy(bucket)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        local.groupBy("user_id", bucket).agg(
+            F.sum("net_bytes").alias("total"), F.min(F.when(F.col("low"), F.col("run"))).alias("lowest"),
+            F.max_by("ahead", position).alias("last_mark"))
+        .withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+        .withColumn("later", F.min(F.col("start") + F.col("lowest")).over(across.rowsBetween(1, Window.unboundedFollowing)))
+        .withColumn("mark_low", F.when(
+            F.col("last_mark").isNotNull(), F.least(F.col("start") + F.col("last_mark"), F.col("later"))))
+        .withColumn("mark_before", F.last("mark_low", ignorenulls=True).over(before))
+        .select("user_id", bucket, "start", "later", "mark_before")
+    )
+    marks = local.where(mark).join(carry, ["user_id", bucket])
+    low_ahead = F.least(F.col("start") + F.col("ahead"), F.col("later"))
+    previous = F.when(F.col("prev").isNotNull(), F.least(F.col("start") + F.col("prev"), F.col("later"))).otherwise(F.col("mark_before"))
+    return marks.select(
+        "user_id", "ts", "event_id", low_ahead.alias("low_ahead"),
+        (F.coalesce(previous, F.lit(0)) - low_ahead).cast("bigint").alias("tare_bytes"),
     )
 
 

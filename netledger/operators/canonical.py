@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netledger.functions.naming import qualify_domain
 from netledger.functions.timebins import in_range, micros_between
-from netledger.operators.scan import prefix_scan, sessions, time_bucket
+from netledger.operators.scan import linked_sessions, time_bucket
 from netledger.params import LOCAL_UTC_OFFSET_HOURS, NO_USER
-from netledger.session import materialise
 
 
 def flow_route() -> Column:
@@ -199,13 +198,11 @@ def stitch_flows(flows: DataFrame, tolerance_seconds: float = 1.0, bucket_unit:
     order = ["start_ts", "flow_id"]
     bucket = time_bucket("start_ts", bucket_unit)
     known = flows.dropna(subset=[*keys, "start_ts"])
-    # Written, since the second scan reads it twice.
-    linked = materialise(
-        prefix_scan(known, keys, order, bucket, lasts={"__prev_end": F.col("end_ts")}, inclusive=False), "linked"
+    numbered = linked_sessions(
+        known.select(*keys, *order, "end_ts", "dest_ip", "bytes_up", "bytes_down"), keys, order, bucket,
+        lambda last, row: last["end_ts"].isNull()
+        | (F.abs(micros_between(last["end_ts"], row["start_ts"])) > int(tolerance_seconds * 1_000_000)), "__part",
     )
-    apart = F.abs(micros_between("__prev_end", "start_ts"))
-    fresh = F.col("__prev_end").isNull() | (apart > int(tolerance_seconds * 1_000_000))
-    numbered = sessions(linked, keys, order, bucket, fresh, "__part")
     first = F.struct(*order)
     stitched = numbered.groupBy(*keys, "__part").agg(
         F.min_by("flow_id", first).alias("flow_id"), F.min("start_ts").alias("start_ts"),

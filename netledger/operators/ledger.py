@@ -7,8 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netledger.functions.timebins import day_of, micros_between, ntz, seconds_between
-from netledger.operators.scan import prefix_scan, running_minimum_of_sum, time_bucket
-from netledger.session import materialise
+from netledger.operators.scan import linked_sessions, prefix_scan, running_minimum_of_sum, time_bucket
 
 LEDGER_ORDER = ["ts", "txn_id", "leg"]
 
@@ -65,18 +64,25 @@ def early_registered_users(txns: DataFrame, bucket_unit: str = "hour") -> DataFr
 
 
 def running_balances(txns: DataFrame, start: datetime, end: datetime, outlier: tuple[object, datetime] | None = None,
-                     bucket_unit: str = "hour") -> DataFrame:
+                     bucket_unit: str = "hour", with_next: bool = False) -> DataFrame:
     """Balance after every account entry inside [start, end), lifted so that it never goes negative.
 
-    outlier=(user, moment) drops that user's entries after the moment.
+    outlier=(user, moment) drops that user's entries after the moment. with_next adds next_ts, the time of the user's next
+    entry that is kept, out of the same scan.
     """
-    ledger = user_ledger(txns).where(F.col("user_id").isNotNull())
+    everything = user_ledger(txns).where(F.col("user_id").isNotNull())
+    # Later entries change no earlier balance, so they can go before the scan.
+    ledger = everything.where(F.col("ts") < ntz(end))
+    if outlier is not None:
+        user, moment = outlier
+        ledger = ledger.where(~((F.col("user_id") == F.lit(user)) & (F.col("ts") > ntz(moment))))
     scanned = prefix_scan(
-        ledger, ["user_id"], LEDGER_ORDER, time_bucket("ts", bucket_unit), sums={"balance": F.col("amount_idr")}
+        ledger, ["user_id"], LEDGER_ORDER, time_bucket("ts", bucket_unit), sums={"balance": F.col("amount_idr")},
+        nexts={"next_ts": F.col("ts")} if with_next else None,
     )
-    out = (
-        scanned.where((F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end)))
-        .join(_offsets(ledger, bucket_unit), "user_id", "left")
+    return (
+        scanned.where(F.col("ts") >= ntz(start))
+        .join(_offsets(everything, bucket_unit), "user_id", "left")
         .withColumns(
             {
                 "balance": F.col("balance") + F.coalesce("offset", F.lit(0)),
@@ -85,17 +91,15 @@ def running_balances(txns: DataFrame, start: datetime, end: datetime, outlier: t
         )
         .drop("offset")
     )
-    if outlier is not None:
-        user, moment = outlier
-        out = out.where(~((F.col("user_id") == F.lit(user)) & (F.col("ts") > ntz(moment))))
-    return out
 
 
 def time_at_zero(balances: DataFrame, active: DataFrame, eligible: DataFrame, bucket_unit: str = "hour") -> DataFrame:
-    """Per eligible user: days with an empty account and share of the active time. The last entry lasts zero time."""
-    nxt = prefix_scan(
-        balances, ["user_id"], LEDGER_ORDER, time_bucket("ts", bucket_unit),
-        lasts={"next_ts": F.col("ts")}, inclusive=False, reverse=True,
+    """Per eligible user: days with an empty account and share of the active time. The last entry lasts zero time.
+
+    balances come from running_balances; where they have next_ts already, no further scan is needed.
+    """
+    nxt = balances if "next_ts" in balances.columns else prefix_scan(
+        balances, ["user_id"], LEDGER_ORDER, time_bucket("ts", bucket_unit), nexts={"next_ts": F.col("ts")},
     )
     held = F.coalesce(micros_between("ts", "next_ts"), F.lit(0))
     empty = F.col("balance") <= 0
@@ -123,30 +127,23 @@ def consolidate_purchases(txns: DataFrame, gap_seconds: int = 60, bucket_unit: s
     """Join purchases that follow the previous one of the user within less than gap_seconds.
 
     Keeps the first time, sums the amounts, and gives the time since the first purchase of the previous group.
-    Three scans follow each other; what one hands to the next is written, so that none evaluates an earlier one again.
+
+    One exchange for all rows: groups, and the group before each, come out of the same scan (scan.linked_sessions).
     """
     order = ["ts", "txn_id"]
-    bucket = time_bucket("ts", bucket_unit)
     purchases = txns.where((F.col("kind") == "purchase") & F.col("user_id").isNotNull()).select(
         "user_id", "txn_id", "ts", "amount_bytes", "amount_idr"
     )
-    linked = materialise(
-        prefix_scan(purchases, ["user_id"], order, bucket, lasts={"__prev": F.col("ts")}, inclusive=False), "linked"
+    linked = linked_sessions(
+        purchases, ["user_id"], order, time_bucket("ts", bucket_unit),
+        lambda last, row: micros_between(last["ts"], row["ts"]) >= gap_seconds * 1_000_000, "__first", "__before",
     )
-    fresh = F.col("__prev").isNull() | (micros_between("__prev", "ts") >= gap_seconds * 1_000_000)
-    # The session start is the latest "fresh" row so far: it identifies the group and is its first purchase.
-    opened = F.when(fresh, F.struct("ts", "txn_id"))
-    grouped = prefix_scan(linked, ["user_id"], order, bucket, lasts={"__first": opened}).groupBy(
-        "user_id", "__first"
-    ).agg(F.sum("amount_bytes").alias("amount_bytes"), F.sum("amount_idr").alias("amount_idr"))
-    groups = materialise(grouped.select(
-        "user_id", F.col("__first.ts").alias("ts"), F.col("__first.txn_id").alias("txn_id"), "amount_bytes",
-        "amount_idr",
-    ), "groups")
-    prior = prefix_scan(groups, ["user_id"], order, bucket, lasts={"__before": F.col("ts")}, inclusive=False)
-    return prior.select(
-        "user_id", "txn_id", "ts", "amount_bytes", "amount_idr",
-        seconds_between("__before", "ts").alias("seconds_since_last"),
+    return linked.groupBy("user_id", "__first").agg(
+        F.sum("amount_bytes").alias("amount_bytes"), F.sum("amount_idr").alias("amount_idr"),
+        F.max("__before.ts").alias("__before"),
+    ).select(
+        "user_id", F.col("__first.txn_id").alias("txn_id"), F.col("__first.ts").alias("ts"), "amount_bytes", "amount_idr",
+        seconds_between("__before", F.col("__first.ts")).alias("seconds_since_last"),
     )
 
 

@@ -90,7 +90,8 @@ class Study(Fixtures):
 
     @property
     def balances(self) -> DataFrame:
-        return ledger.running_balances(self.transactions, P.min_date, P.max_date, outlier=(7, datetime(2024, 1, 25)))
+        return ledger.running_balances(
+            self.transactions, P.min_date, P.max_date, outlier=(7, datetime(2024, 1, 25)), with_next=True)
 
     @property
     def zero_time(self) -> DataFrame:
@@ -312,7 +313,7 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "early_registered_users": lambda s: ledger.early_registered_users(s.transactions),
     "untainted_txn": lambda s: taint.untainted_transactions(s.transactions, P.exploit_start, P.exploit_end),
     "user_ledger": lambda s: ledger.user_ledger(s.transactions),
-    "running_balance": lambda s: s.balances,
+    "running_balance": lambda s: s.balances.drop("next_ts"),
     "all_flows": lambda s: activity.all_flows(s.flows, s.p2p, s.nouser),
     "consolidated_purchases": lambda s: ledger.consolidate_purchases(s.transactions, PURCHASE_GAP),
     # data balance

@@ -1,12 +1,13 @@
 """Two-level scans against plain per-key loops, with one key that holds a third of the rows."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from netledger.operators.scan import floored_balance, prefix_scan, running_minimum_of_sum, time_bucket
+from netledger.operators.scan import floored_balance, linked_sessions, prefix_scan, running_minimum_of_sum, time_bucket
 
 T0 = datetime(2024, 1, 1)
 
@@ -80,3 +81,45 @@ def test_running_minimum_and_floored_balance(spark, seed):
             running += r[3]
             low = running if low is None else min(low, running)
         assert lows[key] == low
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_sessions_match_a_walk(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), rng.randrange(400), rng.choice([None, rng.randrange(30)])) for i in range(300)]
+    df = spark.createDataFrame([r for r in rows], "id long, key string, at long, reach long").repartition(5)
+    fresh = lambda last, row: last["reach"].isNull() | (row["at"] - last["at"] > last["reach"])
+    got = {
+        r.id: (r.session, r.before)
+        for r in linked_sessions(df, ["key"], ["at", "id"], F.floor(F.col("at") / 40), fresh, "session", "before").collect()
+    }
+    want = {}
+    for key in "ab":
+        last = opened = None
+        for i, _, at, reach in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            opens = last is None or last[1] is None or at - last[0] > last[1]
+            before = opened if opens else None
+            opened = (at, i) if opens else opened
+            want[i] = opened, before
+            last = (at, reach)
+    assert got == want
+
+
+def test_next_values_cross_buckets_and_may_be_null(spark):
+    rows = [("a", 1, 10), ("a", 2, None), ("a", 50, 30), ("a", 200, 40), ("b", 7, 1)]
+    df = spark.createDataFrame(rows, "key string, at long, v long")
+    for reverse, want in ((False, [None, 30, 40, None, None]), (True, [None, 10, None, 30, None])):
+        out = prefix_scan(df, ["key"], ["at"], F.floor(F.col("at") / 10), nexts={"n": F.col("v")}, sums={"s": F.lit(1)}, reverse=reverse)
+        assert [r.n for r in out.orderBy("key", "at").collect()] == want
+
+
+@pytest.mark.parametrize("name, sources, shuffles", [("consolidated_purchases", 1, 3), ("flow_stitch", 2, 4), ("tare_offsets", 1, 3)])
+def test_dependent_states_share_one_exchange(spark, name, sources, shuffles):
+    from netledger.verify.workload import QUERIES, Study
+
+    df = QUERIES[name](Study(spark, "/root/testdata/sf0.001"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == sources and "ReusedExchange" in plan
+    # (a broadcast of the summaries stands in for one more where they are small)
+    assert len(re.findall(r"^[^A-Za-z]*Exchange ", plan, re.M)) <= shuffles + 1
