@@ -195,8 +195,55 @@ def resample_hours(df: DataFrame, ts: str, value: str, keys: Sequence[str]) -> D
     return spine.join(hourly, [*keys, "hour"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
+def _beta_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz), as a fold over the number of its terms."""
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    first = F.lit(1.0) / safe(F.lit(1.0) - (a + b) * x / (a + 1.0))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+    def turn(state: Column, factor: Column) -> Column:
+        d = F.lit(1.0) / safe(F.lit(1.0) + factor * state["d"])
+        c = safe(F.lit(1.0) + factor / state["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (state["h"] * d * c).alias("h"))
+
+    # Even and odd terms are separate steps, so that a step names its state a few times only.
+    def step(state: Column, k: Column) -> Column:
+        m = F.floor(k / F.lit(2)).cast("double")
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        return turn(state, F.when(k % 2 == 0, even).otherwise(odd))
+
+    return F.aggregate(F.sequence(F.lit(2), 2 * steps + 1), start, step, lambda state: state["h"])
+
+
+def two_sided_p(t: Column, freedom: Column) -> Column:
+    """P(|T| >= |t|) for Student's t with the given degrees of freedom, as a column expression; NULL without freedom.
+
+    It is I(df / (df + t^2); df / 2, 1 / 2), the regularised incomplete beta function. Gamma(a + 1/2) / Gamma(a) comes from its
+    asymptotic series, reached from small a by recurrence, so that no difference of large logarithms is taken.
+    """
+    df, square = freedom.cast("double"), t * t
+    a, shift = df / 2.0, 24
+    high = a + float(shift)
+    series = 0.5 * F.ln(high) - 1.0 / (8.0 * high) + 1.0 / (192.0 * F.pow(high, 3)) - 1.0 / (640.0 * F.pow(high, 5))
+    down = F.aggregate(
+        F.sequence(F.lit(0), F.lit(shift - 1)), F.lit(0.0), lambda acc, j: acc + F.log1p(F.lit(0.5) / (a + j))
+    )
+    ratio = series - down  # ln(Gamma(a + 1/2) / Gamma(a)): each step down divides by (a + j + 1/2) / (a + j)
+    log_x, log_y = -F.log1p(square / df), F.ln(square / (df + square))
+    front = F.exp(ratio - 0.5 * F.log(F.lit(3.141592653589793)) + a * log_x + 0.5 * log_y)
+    x, y = df / (df + square), square / (df + square)
+    steps = (F.lit(200) + F.ceil(6.0 * F.sqrt(df))).cast("int")
+    half = F.lit(0.5)
+    small = front * _beta_fraction(a, half, x, steps) / a
+    large = F.lit(1.0) - front * _beta_fraction(half, a, y, steps) / half
+    value = F.when(square == 0, F.lit(1.0)).when(x < (a + 1.0) / (a + 2.5), small).otherwise(large)
+    return F.when((df > 0) & t.isNotNull(), value)
+
+
 def least_squares(df: DataFrame, x: Column, y: Column, label: str) -> DataFrame:
-    """One row: n, slope, intercept, R² and the t statistic of the slope for y = a + b x."""
+    """One row: n, slope, intercept, R², the t statistic of the slope for y = a + b x and its two-sided P value."""
     points = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).dropna()
     fit = points.agg(
         F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"),
@@ -206,9 +253,10 @@ def least_squares(df: DataFrame, x: Column, y: Column, label: str) -> DataFrame:
     )
     residual = F.col("__syy") - F.col("slope") * F.col("slope") * F.col("__sxx")
     error = F.sqrt(F.try_divide(F.try_divide(F.greatest(residual, F.lit(0.0)), F.col("n") - 2), F.col("__sxx")))
-    return fit.select(
-        F.lit(label).alias("fit"), "n", "slope", "intercept", "r2",
-        F.try_divide(F.col("slope"), error).alias("t_statistic"), "x_min", "x_max",
+    tested = fit.withColumn("t_statistic", F.try_divide(F.col("slope"), error))
+    return tested.select(
+        F.lit(label).alias("fit"), "n", "slope", "intercept", "r2", "t_statistic",
+        two_sided_p(F.col("t_statistic"), F.col("n") - 2).alias("p_value"), "x_min", "x_max",
     )
 
 

@@ -687,14 +687,20 @@ LEFT JOIN (SELECT category, date_trunc('hour', start_ts) AS hour, sum(bytes_down
   ON s.category = d.category AND s.hour = d.hour""")
 
 
+# Two-sided P value: one minus twice the integral of Student's density from 0 to |t| (Simpson's rule).
+_P_VALUE = """1 - 2 * abs(t) / 60000 * list_sum(list_transform(range(20001), lambda i:
+    CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + (i * t / 20000) ** 2 / v))))"""
+
+
 def _fit(source: str, x: str, y: str, label: str) -> str:
     return f"""
 SELECT '{label}' AS fit, n, {_r('slope', 'slope')}, {_r('intercept', 'intercept')}, {_r('r2', 'r2')},
-       {_r('slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx)', 't_statistic')}, {_r('x_min', 'x_min')},
-       {_r('x_max', 'x_max')}
-FROM (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2,
+       {_r('t', 't_statistic')}, {_r(_P_VALUE, 'p_value')}, {_r('x_min', 'x_min')}, {_r('x_max', 'x_max')}
+FROM (SELECT *, slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) AS t, (n - 2)::DOUBLE AS v
+      FROM (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2,
              regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, min(x) AS x_min, max(x) AS x_max
-      FROM (SELECT {x} AS x, {y} AS y FROM {source}) WHERE x IS NOT NULL AND y IS NOT NULL)"""
+      FROM (SELECT {x} AS x, {y} AS y FROM {source}) WHERE x IS NOT NULL AND y IS NOT NULL))"""
 
 
 def _fits(source: str, x: str, y: str) -> str:

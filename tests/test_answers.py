@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -156,3 +158,24 @@ def test_answers_skip_null_keys(spark):
     assert traffic.bytes_per_user(df).count() == 2
     dns = spark.createDataFrame([("a",), ("b",), (None,)], "domain_name string")
     assert users.top_hosts(dns, exclude=("a",)).count() == 1
+
+
+def test_p_values_match_numerical_integration(spark):
+    def tail(t, v):
+        x, w = np.polynomial.legendre.leggauss(300)
+        density = lambda u: np.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi)
+                                   - (v + 1) / 2 * np.log1p(u * u / v))
+        edges = np.linspace(0, abs(t), max(2, int(abs(t))))
+        return 1 - 2 * sum((b - a) / 2 * (w * density((b - a) / 2 * x + (a + b) / 2)).sum() for a, b in zip(edges, edges[1:]))
+
+    cases = [(0.0, 5), (0.1, 1), (1.0, 1), (12.706204736432095, 1), (2.2281388519649385, 10), (-2.0, 98), (0.01, 500), (5.0, 200),
+             (2.5, 2), (1.96, 20_000)]
+    df = spark.createDataFrame(cases, "t double, v long")
+    for r in df.select("t", "v", stats.two_sided_p(F.col("t"), F.col("v")).alias("p")).collect():
+        assert abs(r.p - tail(r.t, r.v)) < 1e-9
+    # Entries of the usual table: 5 % and 1 %.
+    table = spark.createDataFrame([(4.302652729696142, 2), (2.5758293035489004, 10**9), (63.65674116287399, 1)], "t double, v long")
+    got = [r.p for r in table.select(stats.two_sided_p(F.col("t"), F.col("v")).alias("p")).collect()]
+    assert np.allclose(got, [0.05, 0.01, 0.01], rtol=1e-7, atol=0)
+    edge = spark.createDataFrame([(None, 3), (1.0, 0), (1.0, -1)], "t double, v long")
+    assert {r.p for r in edge.select(stats.two_sided_p(F.col("t"), F.col("v")).alias("p")).collect()} == {None}
