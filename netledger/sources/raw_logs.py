@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from netledger.schemas import RAW_DNS, RAW_FLOW
 
@@ -10,15 +10,53 @@ from netledger.schemas import RAW_DNS, RAW_FLOW
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+#: Text of a record that does not fit its schema.
+CORRUPT = "corrupt_record"
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON records with optional keys: the schema's columns, corrupt_record, and where the record lies (file, block).
+
+    Reading stays permissive: a line that is no record, or has a value of another type, is kept whole in corrupt_record, so
+    that nothing is lost at the scan. The columns of such a row are not to be used.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    read = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return read.select(
+        "*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start")
+    )
+
+
+def readable(records: DataFrame) -> DataFrame:
+    return records.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file", "block_start")
+
+
+def unreadable(records: DataFrame) -> DataFrame:
+    return records.where(F.col(CORRUPT).isNotNull()).select("source_file", "block_start", CORRUPT)
+
+
 def read_raw_flows(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """One wide frame; a key that a record lacks reads as NULL."""
+    """The readable records of one archive; a key that a record lacks reads as NULL (unreadable ones: see read_records)."""
+    if fmt == "json":
+        return readable(read_records(spark, path, RAW_FLOW))
     return spark.read.schema(RAW_FLOW).format(fmt).load(path)
 
 
 def read_raw_dns(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    if fmt == "json":
+        return readable(read_records(spark, path, RAW_DNS))
     return spark.read.schema(RAW_DNS).format(fmt).load(path)
 
 
+def ingest_report(records: DataFrame, archive: str, number: str = "rec_id") -> DataFrame:
+    """One row: records of an archive, how many are readable, how many of these lack a number, how many are unreadable."""
+    return records.agg(
+        F.lit(archive).alias("archive"), F.count("*").alias("records"), F.count_if(F.col(CORRUPT).isNull()).alias("readable"),
+        F.count_if(F.col(CORRUPT).isNull() & F.col(number).isNull()).alias("without_number"),
+        F.count_if(F.col(CORRUPT).isNotNull()).alias("unreadable"),
+    )
+
+
 def read_traceroutes(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: file name and full text (each file holds one trace, a few dozen lines)."""
     return spark.read.text(path, wholetext=True).select(

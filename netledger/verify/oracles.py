@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from netledger.functions import rule_tables as rt
-from netledger.verify.fixtures import USES, VIEWS
+from netledger.verify.fixtures import PARAMS as P, USES, VIEWS
 
 # --- small SQL builders --------------------------------------------------------------------------------------------
 
@@ -423,11 +423,20 @@ SELECT *, CASE WHEN obfuscated_a IS NOT NULL AND obfuscated_b IS NOT NULL THEN '
             WHEN coalesce(obfuscated_b, address_b) IS NULL THEN 'side b has no identity' END AS reject_reason
 FROM fx_raw_flow"""
 oracle("raw_flow_ingest", ["fx_raw_flow"], f"""
-SELECT route, coalesce(reject_reason, 'none') AS reject_reason, count(*) AS records,
-       CAST(sum(bytes_a_to_b) AS BIGINT) AS bytes_a_to_b FROM ({_ROUTE}) GROUP BY 1, 2""")
+SELECT CASE WHEN rec_id % 97 < 2 THEN 'unreadable' ELSE route END AS route,
+       CASE WHEN rec_id % 97 < 2 THEN 'unreadable' ELSE coalesce(reject_reason, 'none') END AS reject_reason, count(*) AS records,
+       CAST(sum(bytes_a_to_b) FILTER (rec_id % 97 >= 2) AS BIGINT) AS bytes_a_to_b FROM ({_ROUTE}) GROUP BY 1, 2""")
 oracle("raw_dns_ingest", ["fx_raw_dns"], """
 SELECT rec_id, host, CAST(len(response_addresses) AS INT) AS addresses, CAST(len(response_ttls) AS INT) AS ttls
-FROM fx_raw_dns""")
+FROM fx_raw_dns WHERE rec_id % 97 >= 2""")
+oracle("ingest_balance", ["fx_raw_flow", "fx_raw_dns"], """
+SELECT archive, count(*) AS records, count(*) FILTER (rec_id % 97 >= 2) AS readable,
+       CAST(0 AS BIGINT) AS without_number, count(*) FILTER (rec_id % 97 < 2) AS unreadable
+FROM (SELECT 'flows' AS archive, rec_id FROM fx_raw_flow UNION ALL SELECT 'dns', rec_id FROM fx_raw_dns) GROUP BY 1""")
+oracle("txn_log_ingest", ["fx_txn_log"], f"""
+SELECT coalesce(kind, 'unknown kind') AS outcome, count(*) AS lines, min(place) AS first_line, max(place) AS last_line,
+       CAST(sum(place) AS BIGINT) AS sum_of_places, CAST(sum(amount_idr) AS BIGINT) AS amount_idr
+FROM ({_LOG}) JOIN (SELECT line_no, row_number() OVER (ORDER BY line_no) - 1 AS place FROM fx_txn_log) USING (line_no) GROUP BY 1""")
 oracle("user_partitioned", ["fx_flows"], _sum("user_id", "fx_flows"))
 oracle("release_tables", ["fx_flows", "fx_p2p", "fx_transactions"], """
 SELECT 'flows' AS table_name, count(*) AS row_count FROM fx_flows
@@ -500,11 +509,33 @@ oracle("finalise_types", ["fx_transactions"], """
 SELECT * REPLACE (coalesce(CAST(user_id AS VARCHAR), '[None]') AS user_id,
                   coalesce(CAST(dest_user_id AS VARCHAR), '[None]') AS dest_user_id) FROM fx_transactions""")
 oracle("finalise_flows", ["fx_flows"], "SELECT * REPLACE (rtrim(trim(fqdn), '.') || '.' AS fqdn) FROM fx_flows")
+_IN_STUDY = "start_time + INTERVAL 9 HOUR >= TIMESTAMP '{0}' AND start_time + INTERVAL 9 HOUR < TIMESTAMP '{1}'".format(
+    P.min_date, P.max_date)
+oracle("cleaning_balance", ["fx_raw_flow", "fx_raw_dns"], f"""
+SELECT * FROM (WITH routed AS ({_ROUTE}), good AS (SELECT * FROM routed WHERE reject_reason IS NULL AND {_IN_STUDY})
+SELECT 'flows_' || route AS output, count(*) AS records,
+       CAST(sum(CASE WHEN route = 'typical' AND obfuscated_a IS NULL THEN bytes_b_to_a ELSE bytes_a_to_b END) AS BIGINT) AS bytes
+FROM good GROUP BY route
+UNION ALL SELECT 'rejected_flows', count(*), CAST(sum(bytes_a_to_b) AS BIGINT) FROM routed WHERE reject_reason IS NOT NULL
+UNION ALL SELECT 'rejected_dns', count(*), NULL FROM fx_raw_dns WHERE NOT {_GOOD_DNS}
+UNION ALL SELECT 'dns', CAST(sum(least(len(response_addresses), len(response_ttls))) AS BIGINT), NULL FROM fx_raw_dns WHERE {_GOOD_DNS})""")
+_LABEL = "'[Other Anonymized U<120]'"
+oracle("anonymised_flows", ["fx_flows"], f"""
+SELECT * FROM (WITH one AS (
+    SELECT * REPLACE (CASE WHEN org IN (SELECT org FROM fx_flows GROUP BY 1 HAVING count(DISTINCT user_id) >= 120)
+                      THEN org ELSE {_LABEL} END AS org) FROM fx_flows),
+two AS (
+    SELECT * REPLACE (CASE WHEN dest_ip IN (SELECT dest_ip FROM one GROUP BY 1 HAVING count(DISTINCT user_id) >= 120)
+                      THEN dest_ip ELSE {_LABEL} END AS dest_ip) FROM one),
+three AS (
+    SELECT * REPLACE (CASE WHEN {_primary('fqdn')} IN (SELECT {_primary('fqdn')} FROM two GROUP BY 1 HAVING count(DISTINCT user_id) >= 120)
+                      THEN fqdn ELSE {_LABEL} END AS fqdn) FROM two)
+SELECT org, dest_ip, fqdn, count(*) AS flows, CAST(sum(bytes_up) AS BIGINT) AS bytes_up FROM three GROUP BY ALL)""")
 oracle("kanon_org", ["fx_daily"], """
-SELECT CASE WHEN users >= 5 THEN org ELSE '[Other Anonymized U<5]' END AS org, CAST(sum(n) AS BIGINT) AS rows
+SELECT CASE WHEN users >= 32 THEN org ELSE '[Other Anonymized U<32]' END AS org, CAST(sum(n) AS BIGINT) AS rows
 FROM (SELECT org, count(DISTINCT user_id) AS users, count(*) AS n FROM fx_daily GROUP BY org) GROUP BY 1""")
 oracle("kanon_ip", ["fx_flows"], """
-SELECT flow_id, CASE WHEN users >= 20 THEN dest_ip ELSE '[Other Anonymized U<20]' END AS dest_ip
+SELECT flow_id, CASE WHEN users >= 120 THEN dest_ip ELSE '[Other Anonymized U<120]' END AS dest_ip
 FROM fx_flows JOIN (SELECT dest_ip, count(DISTINCT user_id) AS users FROM fx_flows GROUP BY 1) USING (dest_ip)""")
 oracle("kanon_fqdn", ["fx_flows"], f"""
 SELECT flow_id, CASE WHEN users >= 150 THEN fqdn ELSE '[Other Anonymized U<150]' END AS fqdn
