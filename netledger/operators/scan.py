@@ -22,12 +22,6 @@ def time_bucket(ts: Column | str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, as_col(ts))
 
 
-def value_bucket(value: Column | str, per_unit: int = 1024) -> Column:
-    """A monotone bucket number for a numeric value, finer near zero: about per_unit buckets per factor e."""
-    v = as_col(value).cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * per_unit)).cast("long")
-
-
 def _ordered(order: Sequence[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from netledger.operators.scan import prefix_scan, value_bucket
+from netledger.operators.scan import prefix_scan
 from netledger.session import materialise
 
 
@@ -17,15 +17,26 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     return df.where(known).groupBy(*keys, value).agg(F.count("*").alias("base_count"))
 
 
+def in_ranges(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "range") -> DataFrame:
+    """Rows dealt to ranges of (keys, value) whose bounds Spark samples, with the number of the range.
+
+    Ranges hold about as many rows each wherever the values lie, so a narrow band of values spreads like a wide one. Written
+    once: the number belongs to the partition a row was written from.
+    """
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], F.col(value))
+    return materialise(dealt.withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """value_counts with `upto`, the rows up to and including the value, and `total`, the rows of the key.
 
-    The counts are written once: the scan and the totals read them, and df is evaluated a single time.
+    The counts are written once, in ranges of values; the scan adds what the ranges before hold to the running count inside
+    a range. The scan and the totals read that table, and df is evaluated a single time.
     """
-    counts = materialise(value_counts(df, value, keys), "counts")
+    counts = in_ranges(value_counts(df, value, keys), value, keys, "__range")
     running = prefix_scan(
-        counts, keys, [value], value_bucket(value), sums={"upto": F.col("base_count")}, reverse=descending
-    )
+        counts, keys, [value], F.col("__range"), sums={"upto": F.col("base_count")}, reverse=descending
+    ).drop("__range")
     if not keys:
         return running.withColumn("total", counts.agg(F.sum("base_count")).scalar())
     return running.join(counts.groupBy(*keys).agg(F.sum("base_count").alias("total")), list(keys))

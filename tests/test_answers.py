@@ -179,3 +179,31 @@ def test_p_values_match_numerical_integration(spark):
     assert np.allclose(got, [0.05, 0.01, 0.01], rtol=1e-7, atol=0)
     edge = spark.createDataFrame([(None, 3), (1.0, 0), (1.0, -1)], "t double, v long")
     assert {r.p for r in edge.select(stats.two_sided_p(F.col("t"), F.col("v")).alias("p")).collect()} == {None}
+
+
+def test_a_narrow_band_of_values_spreads_over_the_ranges(spark):
+    df = spark.range(40_000).select((F.lit(1.0) + F.col("id") / 4e7).alias("v"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        sizes = [r["count"] for r in stats.in_ranges(df, "v").groupBy("range").count().collect()]
+        out = stats.cdf(df, "v").orderBy("v").toPandas()
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    assert np.allclose(out.cdf, np.arange(1, 40_001) / 40_000)
+
+
+def test_ranks_across_ranges_and_keys(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("aab"), rng.choice([None, *range(-20, 21)])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = stats.rank_min(df, "v", keys=["k"], descending=True, pct="p").toPandas()
+    finally:
+        spark.conf.set(coalesce, "true")
+    known = got.dropna(subset=["v"])
+    assert (known["rank"] == known.groupby("k").v.rank(method="min", ascending=False)).all()
+    assert got[got.v.isna()]["rank"].isna().all() and len(got) == len(rows)
