@@ -39,21 +39,21 @@ def purchase_totals(txns: DataFrame, eligible: DataFrame, p: StudyParams) -> Dat
 
 
 def purchase_intervals(consolidated: DataFrame, p: StudyParams) -> DataFrame:
-    """Per user: mean, 90 % and 99 % quantile of the seconds between consolidated purchases."""
-    gaps = consolidated.where(F.col("seconds_since_last").isNotNull())
-    means = gaps.groupBy("user_id").agg(
-        (F.sum(F.round(F.col("seconds_since_last") * 1_000_000).cast("bigint")) / F.count("*") / 1_000_000.0)
-        .alias("mean")
+    """Per user: mean, 90 % and 99 % quantile of the seconds between consolidated purchases, from whole microseconds."""
+    gaps = consolidated.where(F.col("seconds_since_last").isNotNull()).select(
+        "user_id", F.round(F.col("seconds_since_last") * 1_000_000).cast("bigint").alias("us")
     )
-    tails = stats.exact_quantiles(gaps, "seconds_since_last", {"q90": 0.9, "q99": 0.99}, ["user_id"])
-    return means.join(tails, "user_id")
+    means = gaps.groupBy("user_id").agg((F.sum("us") / F.count("*") / 1_000_000.0).alias("mean"))
+    tails = stats.exact_quantiles(gaps, "us", {"q90": 0.9, "q99": 0.99}, ["user_id"])
+    seconds = [(F.col(q) / 1_000_000.0).alias(q) for q in ("q90", "q99")]
+    return means.join(tails.select("user_id", *seconds), "user_id")
 
 
 def purchase_interval_cdfs(consolidated: DataFrame, p: StudyParams) -> DataFrame:
-    """Distribution over users of the mean and tail intervals, in days."""
+    """Distribution over users of the mean and tail intervals, in days. Intervals that differ at all stay apart."""
     names = {"mean": "User's Mean", "q90": "User's 90% Quantile", "q99": "User's 99% Quantile"}
     wide = purchase_intervals(consolidated, p).select(
-        "user_id", *[F.round(F.col(c) / 86400.0, 9).alias(label) for c, label in names.items()]
+        "user_id", *[(F.col(c) / 86400.0).alias(label) for c, label in names.items()]
     )
     return stats.cdf(stats.melt(wide, ["user_id"], list(names.values()), "type", "value"), "value", ["type"])
 

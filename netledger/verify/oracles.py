@@ -308,11 +308,14 @@ SELECT user_id, amount_idr, amount_bytes / 1e9 AS amount_gb, amount_idr * (1.0::
        amount_idr * (1.0::DOUBLE / 14150) / days_active AS usd_per_day, days_active
 FROM (SELECT user_id, CAST(sum(amount_idr) AS BIGINT) AS amount_idr, CAST(sum(amount_bytes) AS BIGINT) AS amount_bytes
       FROM buys GROUP BY user_id) JOIN eligible USING (user_id)""")
-_cte("intervals", ["consolidated"], """
-SELECT user_id, CAST(sum(us) AS BIGINT) / count(*) / 1e6 AS mean, quantile_cont(seconds_since_last, 0.9) AS q90,
-       quantile_cont(seconds_since_last, 0.99) AS q99
-FROM (SELECT *, CAST(round(seconds_since_last * 1e6) AS BIGINT) AS us FROM consolidated
-      WHERE seconds_since_last IS NOT NULL) GROUP BY user_id""")
+_PLACE = "max(us) FILTER (k = {f}((n - 1) * {q}::DOUBLE))::DOUBLE"
+_TAIL = "({lo} + ({hi} - {lo}) * ((any_value(n) - 1) * {q}::DOUBLE - floor((any_value(n) - 1) * {q}::DOUBLE))) / 1e6"
+_tail = lambda q: _TAIL.format(q=q, lo=_PLACE.format(f="floor", q=q), hi=_PLACE.format(f="ceil", q=q))
+_cte("intervals", ["consolidated"], f"""
+SELECT user_id, sum(us)::DOUBLE / count(*) / 1e6 AS mean, {_tail(0.9)} AS q90, {_tail(0.99)} AS q99
+FROM (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n
+      FROM (SELECT user_id, CAST(round(seconds_since_last * 1000000) AS BIGINT) AS us FROM consolidated
+            WHERE seconds_since_last IS NOT NULL)) GROUP BY user_id""")
 _cte("loans", ["fx_reseller_txns"], """
 SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'before' ELSE 'after' END AS period FROM fx_reseller_txns
 WHERE kind = 'user_transfer' AND user_id <> dest_user_id AND dest_user_id IS NOT NULL
@@ -1066,9 +1069,9 @@ oracle("purchase_rate", ["spent"], _rounded_value(_cdf("spent", "usd_per_day"),
 oracle("purchase_interval", ["intervals"],
        f"SELECT user_id, {_r('mean', 'mean')}, {_r('q90', 'q90')}, {_r('q99', 'q99')} FROM intervals")
 CTES["interval_long"] = (["intervals"], """
-SELECT 'User''s Mean' AS type, round(mean / 86400, 9) AS value FROM intervals
-UNION ALL SELECT 'User''s 90% Quantile', round(q90 / 86400, 9) FROM intervals
-UNION ALL SELECT 'User''s 99% Quantile', round(q99 / 86400, 9) FROM intervals""")
+SELECT 'User''s Mean' AS type, mean / 86400 AS value FROM intervals
+UNION ALL SELECT 'User''s 90% Quantile', q90 / 86400 FROM intervals
+UNION ALL SELECT 'User''s 99% Quantile', q99 / 86400 FROM intervals""")
 oracle("purchase_interval_cdf", ["interval_long"], _rounded_value(_cdf("interval_long", "value", "type"), "value"))
 oracle("purchase_amount_hist", ["consolidated"], f"""
 SELECT amount_bytes, count(*) AS count, {_r('amount_bytes / 1e6', 'amount_mb')} FROM consolidated GROUP BY 1""")
