@@ -33,6 +33,10 @@ CHUNK_CHARS = 4_000_000
 BLOCK_CHARS = 500_000
 #: Parts that a chunk's list of words is split into, at least; four times the shuffle partitions if that is more.
 BUCKETS = 1024
+#: Encoded words that a task remembers.
+KNOWN_WORDS = 400_000
+#: Hash functions tried for the pre-tokens of a chunk.
+SALTS = 4
 #: Endings that the pre-token pattern splits off after an apostrophe.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -147,19 +151,23 @@ class Chunk:
         self.starts, self.bounds = pretoken_starts(batch)
         ends = np.append(self.starts[1:], len(batch.codes))
         hashes = np.empty(len(self.starts), U64)
-        for a, b in _blocks(self.starts, ends):
-            at = self.starts[a]
-            values = mix(batch.codes[at:ends[b - 1]].astype(U64) + U64(77))
-            hashes[a:b] = SpanHash(values)(self.starts[a:b] - at, ends[a:b] - at)
-        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         length = ends - self.starts
-        # Hashes only group; every place is compared with the first place of its group.
-        model = self.starts[first][number]
-        if not np.array_equal(length, length[first][number]) or not all(
-            np.array_equal(batch.codes[self.starts[a]:ends[b - 1]], batch.codes[ragged(model[a:b], length[a:b])])
-            for a, b in _blocks(self.starts, ends)
-        ):
-            raise ValueError("two different pre-tokens have the same 64-bit hash")
+        for salt in range(77, 77 + SALTS):
+            for a, b in _blocks(self.starts, ends):
+                at = self.starts[a]
+                values = mix(batch.codes[at:ends[b - 1]].astype(U64) + U64(salt))
+                hashes[a:b] = SpanHash(values)(self.starts[a:b] - at, ends[a:b] - at)
+            distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+            # Hashes only group; every place is compared with the first place of its group, and other hashes are taken
+            # where two different pre-tokens meet.
+            model = self.starts[first][number]
+            if np.array_equal(length, length[first][number]) and all(
+                np.array_equal(batch.codes[self.starts[a]:ends[b - 1]], batch.codes[ragged(model[a:b], length[a:b])])
+                for a, b in _blocks(self.starts, ends)
+            ):
+                break
+        else:
+            raise ValueError(f"different pre-tokens have the same 64-bit hash under {SALTS} hash functions")
         bucket = (distinct % U64(buckets)).astype(np.int64)
         order = np.lexsort((distinct, bucket))
         rank = np.empty(len(order), np.int64)
@@ -260,6 +268,8 @@ def encode(docs: DataFrame, ranks_path: str, emit, fields: str, buckets: int | N
                 for word in _split_list(packed, count):
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= KNOWN_WORDS:  # a task takes many buckets; what it remembers stays bounded
+                            known.clear()
                         ids = known[word] = np.array(encode_word(word, table), "<u4").tobytes()
                     sizes.append(len(ids) // 4)
                     flat.append(ids)

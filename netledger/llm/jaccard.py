@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from netledger.llm.graph import components
 from netledger.llm.storage import stage
-from netledger.llm.textops import U64, Codes, Words, mix, passes, shingles, sorted_sets
+from netledger.llm.textops import U64, Codes, Words, mix, passes, shingles, sorted_sets, unused
 
 THRESHOLD = 0.8
 RECALL = 0.999
@@ -33,12 +33,18 @@ _NODE = ["key", "n", "copies", "bands"]
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 96) -> tuple[int, int]:
-    """(bands, rows): the most selective banding that still finds pairs at the threshold with the wanted probability."""
-    best = (1, 1)
-    for rows in range(1, most_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= most_hashes:
-            best = (bands, rows)
+    """(bands, rows): the most selective banding that still finds pairs at the threshold with the wanted probability.
+
+    It uses at most most_hashes hashes, but for low thresholds, where bands of one row are as many as the recall takes.
+    """
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError(f"threshold {threshold} must be in (0, 1], recall {recall} in (0, 1)")
+    needed = lambda rows: math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+    best = (needed(1), 1)
+    for rows in range(2, most_hashes + 1):
+        if threshold**rows < 1e-9 or needed(rows) * rows > most_hashes:
+            break
+        best = (needed(rows), rows)
     return best
 
 
@@ -295,9 +301,12 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near duplicates plus one of each group (the smallest id); all columns kept.
 
-    Rows that repeat the id of the document kept are repeated rows of it: one stays. Rows with a null id stay.
+    Of rows that repeat the id and the text of the document kept one stays; rows with its id and another text stay each, as
+    do rows with a null id.
     """
     joined = ngram_join(docs.select(docs["doc_id"], docs["text"]), threshold)
     keep = joined.filter("doc_id = group_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")) 
+    digest = unused("text_digest", docs.columns)
+    one_each = kept.withColumn(digest, F.unhex(F.sha2("text", 256))).dropDuplicates(["doc_id", digest]).drop(digest)
+    return one_each.unionByName(docs.filter("doc_id is null")) 

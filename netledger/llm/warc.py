@@ -36,7 +36,7 @@ from pyspark.sql.datasource import (
 
 LEAST_SHARED_BYTES = 100
 PARTITION_BYTES = 64 << 20
-FILE_BYTES = 256 << 20
+FILE_BYTES = PARTITION_BYTES  # a file is read by one task
 _DATE = "1970-01-01T00:00:00Z"
 _ID = "urn:x-page-id:"
 RECORD_SCHEMA = ("page_id bigint, target_uri string, record_type string, refers_to bigint, payload_digest string, "
@@ -49,10 +49,13 @@ def _open_folder(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def gzip_member(data: bytes) -> bytes:
-    """One gzip member with its compressed and full length in the `sl` extra field."""
+    """One gzip member with its compressed and full length in the `sl` extra field (left out from 4 GB on: readers then inflate)."""
     packer = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     size = 10 + 2 + 12 + len(body) + 8
+    if max(size, len(data)) >= 1 << 32:
+        tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+        return b"".join([b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff", body, tail])
     return b"".join([
         b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff", struct.pack("<H", 12), b"sl", struct.pack("<HII", 8, size, len(data) & 0xFFFFFFFF),
         body, struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF),

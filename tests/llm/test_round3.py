@@ -13,7 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from netledger.llm import licences, prefix_trie, queries, toxicity, whitening
+from netledger.llm import bpe, jaccard, licences, prefix_trie, queries, toxicity, whitening
 from netledger.llm.shipping import ship_package
 from netledger.llm.textops import Codes, passes
 
@@ -253,3 +253,51 @@ def test_trie_sql_agrees(spark, talks):
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", talks)
     assert sorted(con.sql(queries.ORACLES["op13_prefix_trie"]).fetchall(), key=str) == brute_trie(talks)
+
+
+# -- mended operators ---------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.5, 0.6, 0.67, 0.8, 0.95, 1.0])
+def test_bands_reach_their_recall(threshold):
+    bands, rows = jaccard.choose_bands(threshold)
+    assert 1 - (1 - threshold**rows) ** bands >= jaccard.RECALL and (rows == 1 or bands * rows <= 96)
+    # Measured: sets of 200 members with at least that similarity, minima of random hashes.
+    rng = np.random.default_rng(7)
+    shared = int(np.ceil(400 * threshold / (1 + threshold)))
+    found = 0
+    for _ in range(200):
+        h = rng.random((bands * rows, 400 - shared))
+        a, b = h[:, :200].min(1), h[:, 200 - shared:].min(1)
+        found += (a == b).reshape(bands, rows).all(1).any()
+    assert found >= 197
+
+
+def test_bands_refuse_what_makes_no_sense():
+    for threshold in (0.0, -1.0, 1.1):
+        with pytest.raises(ValueError):
+            jaccard.choose_bands(threshold)
+
+
+def test_a_second_text_with_the_id_stays(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "b"), (1, "something else entirely that is long enough", "c"), (2, text + " end", "d"), (None, text, "e")]
+    kept = jaccard.one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string, text_digest string")).collect()
+    assert sorted((r.doc_id is None, r.text) for r in kept) == sorted(
+        [(False, text), (False, "something else entirely that is long enough"), (True, text)])
+
+
+def test_other_hashes_where_two_pretokens_meet(monkeypatch):
+    texts = ["one two three one", "two four"]
+    plain = bpe.Chunk(texts, 8)
+    spans, calls = bpe.SpanHash, []
+
+    class Colliding(spans):
+        def __call__(self, start, end):
+            calls.append(1)
+            out = super().__call__(start, end)
+            return out * 0 if len(calls) == 1 else out
+
+    monkeypatch.setattr(bpe, "SpanHash", Colliding)
+    again = type(plain)(texts, 8)
+    read = lambda chunk: [chunk.words[k] for k in chunk.number]
+    assert len(calls) == 2 and read(again) == read(plain)
