@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation, DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. They are the protected entities. A term (word of three or
-more letters or digits) that stands near an entity may reveal it: over the whole corpus, with N documents,
+more letters or digits outside base spans) that stands in the documents of an entity may reveal it: over the whole corpus, with N documents,
 PMI(t; e) = log(N n_te / (n_t n_e)) measures how much the term says about the entity, and IC(e) = log(N / n_e) is all there is to
-say. The disclosure of a term is its largest PMI / IC over the entities that it stands near in at least MIN_TEXTS
-different texts (n_te counts documents in which it does). Terms that reach GENERALISE are generalised to their kind
-(<name>, <number>, <term>), those that reach REMOVE are removed, wherever they stand.
+say; n_te, n_t and n_e count documents. The disclosure of a term is its largest PMI / IC over the entities that it stands with
+in at least MIN_TEXTS different texts. Terms that reach GENERALISE are generalised to their kind (<name>, <number>, <term>), those
+that reach REMOVE are removed, wherever they stand.
 
-Work: one pass finds base spans and the words near them; one pass counts the documents of every word (aggregated before the
-shuffle); one pass looks up the few flagged terms; a join marks the texts. All counts cover all documents.
+Work: one pass finds base spans and the words of the documents that hold one; one pass counts the documents of every word
+(aggregated before the shuffle); pairs are made of entities in MIN_TEXTS texts and words no more frequent than the threshold
+allows for that entity, once per different text, and aggregated before the shuffle; one pass looks up the flagged terms; a join
+marks the texts. All counts cover all documents and whole texts.
 
 Defined cases: a null text is an empty one; empty texts have no spans; repeated rows give one row each; an entity that is in every
 document has nothing left to reveal and flags no term; copies of one text count as one text for MIN_TEXTS.
@@ -22,8 +24,8 @@ from netledger.llm.storage import stage
 
 GENERALISE, REMOVE = 0.8, 0.95
 MIN_TEXTS = 3
-#: Characters on each side of an entity that count as near it.
-NEAR = 64
+#: Share of all documents from which a word counts as frequent.
+FREQUENT = 0.01
 KINDS = ("email", "ip", "card", "phone")
 _WORD = r"[\p{L}\p{N}]"
 # Written so that long runs are scanned once: a match can only begin where its run begins or the last match ended.
@@ -101,14 +103,21 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.array_sort(F.concat(*[f"spans_{k}" for k in KINDS])).alias("base"))
 
 
-def _near_words(text: Column, span: Column) -> Column:
-    """Distinct words near a span; a word cut by the edge of the window is left out."""
-    begin = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substr(text, begin + 1, span["start"] - begin)
-    left = F.when(begin > 0, F.regexp_replace(left, f"^{_WORD}+", "")).otherwise(left)
-    right = F.substr(text, span["end"] + 1, F.lit(NEAR))
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, f"{_WORD}+$", "")).otherwise(right)
-    return F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(f"{_WORD}{{3,}}"), F.lit(0))
+def _outside(text: Column, base: Column) -> Column:
+    """The text without its base spans, a space for each."""
+    def step(state: Column, s: Column) -> Column:
+        cut = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).cast("int").alias("at"),
+                        F.concat(state["parts"], F.array(cut)).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    rest = lambda state: F.concat(F.array_join(state["parts"], " "), F.lit(" "), F.substr(text, state["at"] + 1, F.length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, start, step, rest))
+
+
+def _words(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
 
 
 def _entity(span: Column) -> Column:
@@ -116,39 +125,60 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
+def seen_entities(docs: DataFrame) -> DataFrame:
+    """text_key, entities and, where there are any, words per document."""
+    base = F.col("base")
+    return stage(
+        with_base_spans(docs.select(docs["doc_id"], docs["text"])).select(
+            F.unhex(F.md5("text")).alias("text_key"), F.array_distinct(F.transform(base, _entity)).alias("entities"),
+            F.when(F.size(base) > 0, _words(_outside(F.col("text"), base))).alias("words"),
+        ), "seen",
+    )
+
+
 def disclosing_terms(seen: DataFrame, docs: DataFrame, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS,
                      ) -> tuple[DataFrame, DataFrame]:
     """(terms, places): term and disclosure of each flagged term; text_key and term for the texts that hold one.
 
-    seen: doc_id, text_key, near (array of entity, words) per document; docs: the texts.
+    seen: what seen_entities gives; docs: the texts.
     """
     n = seen.count()
-    # Documents, not occurrences: a document that names an entity twice near a term counts once.
-    pair_docs = stage(
-        seen.filter(F.size("near") > 0)
-        .select("text_key", F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(
-            F.concat(F.array(F.lit("")), x["words"]), lambda w: F.struct(x["entity"].alias("entity"), w.alias("term"))
-        ))))).alias("p"))
-        .groupBy("p.entity", "p.term", "text_key").agg(F.count("*").alias("docs")), "pairs",
-    )
-    pairs = pair_docs.groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("texts"))
-    entities = pairs.filter("term = ''").select("entity", F.col("n_te").alias("n_e"))
     total = F.lit(float(max(n, 1)))
-    information = F.log(total / F.col("n_e"))
-    ratio = lambda n_t: F.log(total * F.col("n_te") / (n_t * F.col("n_e"))) / information
-    hopeful = stage(
-        pairs.filter((F.col("term") != "") & (F.col("texts") >= min_texts)).join(entities, "entity").filter("n_e < " + str(n))
-        .select("term", "entity", "n_te", "n_e"), "hopeful",
+    # Documents, not occurrences: a document that names an entity twice counts once.
+    held = stage(
+        seen.select("text_key", F.explode("entities").alias("entity"))
+        .groupBy("entity", "text_key").agg(F.count("*").alias("docs")), "held",
     )
+    # n_te is at most n_e, so PMI / IC >= generalise needs n_t <= n_e (N / n_e)^(1 - generalise): an exact bound per entity.
+    most = F.col("n_e") * F.pow(total / F.col("n_e"), F.lit(1.0 - generalise)) * (1 + 1e-9)
+    entities = (
+        held.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
+        .filter((F.col("texts") >= min_texts) & (F.col("n_e") < n)).select("entity", "n_e", most.alias("most"))
+    )
+    holders = stage(held.join(entities, "entity"), "holders")
+    limit = holders.agg(F.max("most")).first()[0] or 0.0
     words = docs.select(
-        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"),
-        F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"),
-    ).filter(F.length("term") > 2)
-    counted = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = stage(
-        hopeful.join(counted, "term").withColumn("disclosure", ratio(F.col("n_t")))
-        .groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= generalise), "terms",
+        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), F.explode(_words(F.col("text"))).alias("term"))
+    spread = with_base_spans(docs.select(docs["doc_id"], docs["text"])).select(
+        F.explode(_words(_outside(F.col("text"), F.col("base")))).alias("term"))
+    counted = stage(spread.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_texts), "counted")
+    # Words too frequent for any entity and in FREQUENT of the documents: their number is at most the mean number of words of a
+    # document / FREQUENT, however many documents there are. They leave before anything is shuffled by term.
+    frequent = counted.filter(F.col("n_t") > max(limit, FREQUENT * n)).select("term")
+    beside = (
+        seen.filter(F.size("entities") > 0).select("text_key", F.explode("words").alias("term"))
+        .join(F.broadcast(frequent), "term", "left_anti")
+        .join(counted.filter(F.col("n_t") <= limit), "term").groupBy("text_key", "term").agg(F.max("n_t").alias("n_t"))
     )
+    pairs = (
+        holders.join(beside, (holders["text_key"] == beside["text_key"]) & (beside["n_t"] <= holders["most"]))
+        .groupBy("entity", "term").agg(
+            F.sum("docs").alias("n_te"), F.count("*").alias("texts"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
+        .filter(F.col("texts") >= min_texts)
+    )
+    disclosure = F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
+    terms = stage(
+        pairs.groupBy("term").agg(F.max(disclosure).alias("disclosure")).filter(F.col("disclosure") >= generalise), "terms")
     return terms, words.join(terms.select("term"), "term", "left_semi")
 
 
@@ -159,14 +189,7 @@ def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
     """
     columns = docs.columns
     key = "text_key_of_pii_"
-    seen = stage(
-        with_base_spans(docs.select(docs["doc_id"], docs["text"])).select(
-            F.unhex(F.md5("text")).alias("text_key"),
-            F.transform("base", lambda s: F.struct(
-                _entity(s).alias("entity"), F.array_distinct(_near_words(F.col("text"), s)).alias("words")
-            )).alias("near"),
-        ), "near",
-    )
+    seen = seen_entities(docs)
     terms, places = disclosing_terms(seen, docs, generalise, min_texts)
     marks = stage(
         places.distinct().join(terms, "term").groupBy("text_key").agg(

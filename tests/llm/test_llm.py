@@ -135,6 +135,44 @@ def test_disclosing_terms_are_found_and_rewritten(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in clean.values() if r["text"] is not None)
 
 
+def test_disclosure_counts_whole_documents_like_brute_force(spark):
+    import math
+    from collections import defaultdict
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(400):
+        words = [f"w{int(x)}" + "ab" for x in rng.zipf(1.4, 30) if x < 400]
+        mails = [f"u{int(k)}@ex{int(k)}.org" for k in rng.integers(0, 30, rng.integers(0, 3))]
+        texts.append(" ".join(words + [f"tail{len(k)}{k[1]}zz" for k in mails if rng.random() < 0.8] + ["pad"] * 60 + mails))
+    texts += [texts[3]] * 5 + [texts[9]] * 40 + [f"Zorblatt {'filling ' * 40} far@away.org {i}xyz" for i in range(4)] + [None, ""]
+    want_terms = {}
+    entity_docs, term_docs, both, both_texts = (defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(set))
+    for text in (t or "" for t in texts):
+        mails = {m[0] for m in re.finditer(BASE["email"], text)}
+        words = {w for w in re.findall(r"[a-z0-9]+", re.sub(BASE["email"], " ", text.lower())) if len(w) > 2}
+        for w in words:
+            term_docs[w] += 1
+        for e in mails:
+            entity_docs[e] += 1
+            for w in words:
+                both[e, w] += 1
+                both_texts[e, w].add(text)
+    n = len(texts)
+    for (e, w), n_te in both.items():
+        if len(both_texts[e, w]) >= pii.MIN_TEXTS and entity_docs[e] < n:
+            value = math.log(n * n_te / (term_docs[w] * entity_docs[e])) / math.log(n / entity_docs[e])
+            if value >= pii.GENERALISE:
+                want_terms[w] = max(value, want_terms.get(w, 0))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    terms, places = pii.disclosing_terms(pii.seen_entities(frame), frame)
+    got = {r["term"]: r["disclosure"] for r in terms.collect()}
+    assert "zorblatt" in got and len(got) > 3 and got.keys() == want_terms.keys()
+    assert all(abs(got[w] - want_terms[w]) < 1e-9 for w in got)
+    assert {r["term"] for r in places.collect()} == set(got)
+    last = {r["doc_id"]: r for r in pii.report(frame).collect()}
+    assert "term:0:8" in last[len(texts) - 3]["spans"]
+
+
 def test_pii_plan_has_no_python(spark, docs):
     plan = pii.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
