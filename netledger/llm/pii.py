@@ -183,7 +183,7 @@ def disclosing_terms(seen: DataFrame, docs: DataFrame, generalise: float = GENER
 
 
 def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """The rows of docs with two more columns last: base_spans, and all_spans (base and term spans, with an action).
+    """row (the columns of docs but text), absent (text was null), text, base_spans and all_spans (base and term spans) per row.
 
     Spans are structs (start, rank, end, kind, value, action); term spans that touch a base span are left out.
     """
@@ -196,8 +196,13 @@ def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
             F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("marked_terms_")
         ), "marks",
     )
-    rows = with_base_spans(docs.select(F.struct(*[docs[c] for c in columns]).alias("doc_id"), docs["text"]))
-    rows = rows.withColumn(key, F.unhex(F.md5("text"))).join(marks.withColumnRenamed("text_key", key), key, "left")
+    # A merge join at every size: the marks grow with the corpus, so texts are dealt by key, each carried once and before its spans.
+    rows = docs.select(
+        F.struct(*[docs[c] for c in columns if c != "text"]).alias("row"), docs["text"].alias("text"),
+        F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias(key),
+    ).join(marks.withColumnRenamed("text_key", key).hint("merge"), key, "left")
+    rows = with_base_spans(rows.select(F.struct("row", F.col("text").isNull().alias("absent"), "marked_terms_").alias("doc_id"), "text"))
+    rows = rows.select("doc_id.*", "text", "base")
     plain = F.coalesce(F.map_keys("marked_terms_"), F.array().cast("array<string>"))
     # Terms are letters and digits only, so they need no quoting; (?iu) because texts keep their case.
     pattern = F.concat(F.lit(rf"(?iu)(?<!{_WORD})(?:"), F.array_join(plain, "|"), F.lit(rf")(?!{_WORD})"))
@@ -215,7 +220,7 @@ def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
         lambda s: act(s, F.when(strength(s) >= remove, F.lit("remove")).otherwise(F.lit("generalise"))),
     )
     return rows.select(
-        F.col("doc_id").alias("row"), "text", base.alias("base_spans"), F.array_sort(F.concat(base, added)).alias("all_spans")
+        "row", "absent", "text", base.alias("base_spans"), F.array_sort(F.concat(base, added)).alias("all_spans")
     )
 
 
@@ -262,7 +267,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     text = F.when(F.size("all_spans") == 0, F.col("text")).otherwise(
         F.concat(F.array_join("state.parts", ""), rest)
     )
-    folded = folded.withColumn("new_text", F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(text))
+    folded = folded.withColumn("new_text", F.when(F.col("absent"), F.lit(None)).otherwise(text))
     replaced = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType)
                 if "n_chars" in docs.columns else None}
     return folded.select(*[
