@@ -6,7 +6,9 @@ SHARE of them) are its template. Pages count by their text outside declared part
 turn its own text into a template. What remains after removing the template and the parts that markup declares to be no article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is the text. If a page has an article
 or main element, the text is what is inside; there, a recurring subtree is removed if it mostly consists of links, or else if
-ARTICLE_SHARE of the pages have it inside, so that a passage which some articles share stays.
+ARTICLE_SHARE of the pages have it inside, so that a passage which some articles share stays. Recurrence is asked first, for
+declared parts too; the declarations decide about what does not recur. Class and id names declare by their last word (share-price is
+no share bar), articles by words for comments only. A header inside an article is its heading and stays.
 
 A host has at most (subtrees per page) / SHARE template hashes, however many pages it has, so its list travels with the
 host and not with every page's subtrees.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,7 @@ SHARE = 0.01
 ARTICLE_SHARE = 0.5
 #: Parts that the pages of a host are dealt to where the templates are too large to be broadcast.
 SALTS = 32
+REMOVED = ("n_template", "n_declared", "n_outside")
 #: Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -58,14 +62,25 @@ ASIDE_WORDS = frozenset(
     "masthead topbar comment comments commentlist disqus respond reply replies related recommended share sharing social "
     "newsletter subscribe signup login pagination pager widget widgets toolbar skip".split()
 )
+#: Words that follow the one that says what an element is (ad-slot, related-articles).
+PLACE_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container content desktop form group holder icons inner item "
+    "items left link links list main mobile outer panel posts region right row section site slot small stories text title top unit "
+    "wrap wrapper".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _INSIDE = 0x9E3779B97F4A7C15
 NEVER_BY_NAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(\bhidden\b)")
+_COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+_PLAIN_TAG = r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+_TOKEN = re.compile(_COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|" + _PLAIN_TAG, re.S)
+#: For pages where unclosed quotes cost more than QUOTE_WORK times their length: quotes no longer hide the end of a tag.
+_TOKEN_NO_QUOTES = re.compile(_COMMENT + r"|(?!)()()()|" + _PLAIN_TAG, re.S)
+QUOTE_WORK = 8
+_OPEN_COMMENT = re.compile(_COMMENT + r"|(?!)()()()()()()", re.S)
+_ATTRIBUTE = re.compile(
+    r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![^\s/\"'])(hidden)(?![^\s/>])")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -82,8 +97,8 @@ class Element:
             if "class" in found or "id" in found or "role" in found:
                 self.key = "\x1f".join(found.get(n, "") for n in ("class", "id", "role"))
             role = found.get("role", "").lower()
-            names = {w.lower() for n in ("class", "id") for w in _NAME.findall(found.get(n, ""))}
-            if tag not in NEVER_BY_NAME and (names & ASIDE_WORDS or role in ASIDE_ROLES):
+            heads = {_head(name) for n in ("class", "id") for name in found.get(n, "").split()}
+            if tag not in NEVER_BY_NAME and (heads & ASIDE_WORDS or role in ASIDE_ROLES) or tag == "article" and heads & COMMENT_WORDS:
                 self.dropped = True
             if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
                 self.dropped = True
@@ -91,11 +106,27 @@ class Element:
                 self.tag = "main"
 
 
+def _head(name: str) -> str:
+    """The word that says what a class or id is: the last one but for places and numbers (share-price: price, ad-slot: ad)."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    while len(words) > 1 and (words[-1] in PLACE_WORDS or words[-1].isdigit() or len(words[-1]) == 1):
+        words.pop()
+    return words[-1] if words else ""
+
+
 def parse(page: str) -> Element:
-    """The tree of a page; element parts are texts (decoded) and elements in page order."""
+    """The tree of a page; element parts are texts (decoded) and elements in page order. Time is linear in the page."""
     root = Element("#page", "")
     stack = [root]
     at, n = 0, len(page)
+    token, quote_work = _TOKEN, 0
+    last_end = page.rfind(">")
+    # Depths of the open elements by tag, and of those that are no inline elements.
+    depths: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+
+    def deepest(*tags: str) -> int:
+        return max(depths[t][-1] if depths[t] else 0 for t in tags)
 
     def text(piece: str) -> None:
         if piece:
@@ -103,10 +134,16 @@ def parse(page: str) -> Element:
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
-            _seal(stack.pop())
+            element = stack.pop()
+            if stack:
+                depths[element.tag].pop()
+                if element.tag not in INLINE:
+                    blocks.pop()
+            _seal(element)
 
     while at < n:
-        match = _TOKEN.search(page, at)
+        # Behind the last > there are no tags, only text or an unclosed comment.
+        match = (token if at <= last_end else _OPEN_COMMENT).search(page, at)
         if match is None:
             text(page[at:])
             break
@@ -116,35 +153,32 @@ def parse(page: str) -> Element:
         if not name:
             continue
         name = name.lower()
+        if match[5] and ('"' in attributes or "'" in attributes):
+            quote_work += n - match.start()
+            if quote_work > QUOTE_WORK * n:
+                token = _TOKEN_NO_QUOTES
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name or name == "main" and stack[depth].tag == "main":
-                    close_to(depth)
-                    break
-                # A stray end tag does not close an article around it.
-                if stack[depth].tag in ("article", "main", "table") and name in ("p", "li", "b", "i", "span", "a"):
-                    break
+            depth = deepest(name)
+            # A stray end tag does not close an article around it.
+            around = deepest("article", "main", "table") if name in ("p", "li", "b", "i", "span", "a") else 0
+            if depth > around:
+                close_to(depth)
             continue
         if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    close_to(depth)
-                    break
-                if stack[depth].tag not in INLINE:
-                    break
+            if blocks and stack[blocks[-1]].tag == "p":
+                close_to(blocks[-1])
         elif name in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            same = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in same:
-                    close_to(depth)
-                    break
-                if stack[depth].tag in ("ul", "ol", "dl", "table", "tr", "tbody", "select", "article", "div", "section"):
-                    break
+            depth = deepest(*(("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)))
+            if depth and depth >= deepest("ul", "ol", "dl", "table", "tr", "tbody", "select", "article", "div", "section"):
+                close_to(depth)
         element = Element(name, attributes)
         stack[-1].parts.append(element)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             _seal(element)
             continue
+        depths[element.tag].append(len(stack))
+        if element.tag not in INLINE:
+            blocks.append(len(stack))
         stack.append(element)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
@@ -174,21 +208,20 @@ def _seal(element: Element) -> None:
     element.hash = digest.intdigest()
 
 
-def _walk(root: Element) -> Iterator[tuple[object, bool, bool]]:
-    """(element or text, inside an article, entering) in page order; dropped elements are left out."""
+def _walk(root: Element) -> Iterator[tuple[object, bool, bool, bool]]:
+    """(element or text, inside an article, entering, declared to be no article) in page order; declared ones are not entered."""
     has_article = _has(root, "article")
     main = "article" if has_article else "main" if _has(root, "main") else None
     stack: list[tuple[object, bool, bool]] = [(root, main is None, True)]
     while stack:
         item, inside, entering = stack.pop()
         if isinstance(item, str) or not entering:
-            yield item, inside, entering
+            yield item, inside, entering, False
             continue
-        if item.dropped or item.tag == "header" and not inside:
-            continue
-        inside = inside or item.tag == main
-        keep = yield item, inside and main is not None, True
-        if keep is False:
+        declared = item.dropped or item.tag == "header" and not inside
+        inside = inside or item.tag == main and not declared
+        keep = yield item, inside and main is not None, True, declared
+        if keep is False or declared:
             continue
         stack.append((item, inside, False))
         for part in reversed(item.parts):
@@ -218,36 +251,51 @@ def _template_key(element: Element, in_main: bool) -> tuple[int, bool]:
     return key - (1 << 64) if key >> 63 else key, own
 
 
-def subtree_hashes(page: str) -> set[tuple[int, bool]]:
-    """Keys of the subtrees with text that may be a template, and whether they stand inside an article."""
+def _countable(element: Element) -> bool:
+    return element.chars > 0 and element.tag not in ("#page", "html", "body")
+
+
+def subtree_hashes(tree: Element) -> set[tuple[int, bool]]:
+    """Keys of the subtrees with text that may be a template, declared parts too, and whether they stand inside an article."""
     found = set()
-    for item, in_main, entering in _walk(parse(page)):
-        if entering and not isinstance(item, str) and item.chars and item.tag not in ("#page", "html", "body"):
+    for item, in_main, entering, _ in _walk(tree):
+        if entering and not isinstance(item, str) and _countable(item):
             found.add(_template_key(item, in_main))
     return found
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """Text of the page without the subtrees whose key is in the template."""
+def clean(tree: Element, template: set[int]) -> tuple[str, int, int, int]:
+    """Text of the page, and the characters removed as template, as declared parts, and as standing outside the article."""
     out: list[str] = []
-    walk = _walk(parse(page))
+    by_template = by_declaration = outside = 0
+    walk = _walk(tree)
     try:
-        item, in_main, entering = next(walk)
+        item, in_main, entering, declared = next(walk)
         while True:
             keep = None
             if isinstance(item, str):
                 if in_main:
                     out.append(item)
+                else:
+                    outside += len(" ".join(item.split()))
             else:
-                if item.tag not in INLINE:
+                if item.tag not in INLINE and not declared:
                     out.append(" ")
-                if entering and template and item.chars and item.tag not in ("#page", "html", "body"):
-                    if _template_key(item, in_main)[0] in template:
-                        keep = False
-            item, in_main, entering = walk.send(keep)
+                # Recurrence decides first; what markup declares is left for subtrees that do not recur.
+                if entering and template and _countable(item) and _template_key(item, in_main)[0] in template:
+                    keep = False
+                    by_template += item.chars
+                elif declared:
+                    by_declaration += item.chars
+            item, in_main, entering, declared = walk.send(keep)
     except StopIteration:
         pass
-    return " ".join("".join(out).split())
+    return " ".join("".join(out).split()), by_template, by_declaration, outside
+
+
+def main_text(page: str, template: set[int]) -> str:
+    """Text of the page without the subtrees whose key is in the template."""
+    return clean(parse(page), template)[0]
 
 
 def host_of(url: Column) -> Column:
@@ -262,9 +310,11 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("hash", pa.int64()), ("own", pa.bool_())])
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            sets = [[{"hash": h, "own": own} for h, own in sorted(subtree_hashes(p))] for p in found]
-            bodies = [xxhash.xxh64(main_text(p, set()).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63) for p in found]
+            sets, bodies = [], []
+            for page in batch.column(1).to_pylist():
+                tree = parse(page)
+                sets.append([{"hash": h, "own": own} for h, own in sorted(subtree_hashes(tree))])
+                bodies.append(xxhash.xxh64(clean(tree, set())[0].encode("utf-8", "surrogatepass")).intdigest() - (1 << 63))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(bodies, pa.int64()), pa.array(sets, pa.list_(kind))], ["host", "body", "subtrees"])
 
@@ -284,7 +334,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars per page row."""
+    """page_id, url, text, n_chars per page row, then the characters that each rule removed."""
     # Written first, so that Spark knows its size: small templates are broadcast, larger ones joined on host and salt.
     hosts = stage(templates(pages, min_pages, share), "templates").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -307,9 +357,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
                 if packed not in known:
                     known.clear()
                     known[packed] = set(own.tolist())
-                out.append(main_text(page, known[packed]))
+                out.append(clean(parse(page), known[packed]))
+            removed = [pa.array([t[k] for t in out], pa.int64()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()),
-            ], ["page_id", "url", "text", "n_chars"])
+                batch.column(0), batch.column(1), pa.array([t[0] for t in out], pa.string()),
+                pa.array([len(t[0]) for t in out], pa.int64()), *removed,
+            ], ["page_id", "url", "text", "n_chars", *REMOVED])
 
-    return joined.mapInArrow(texts, "page_id bigint, url string, text string, n_chars bigint")
+    return joined.mapInArrow(texts, "page_id bigint, url string, text string, n_chars bigint, " + ", ".join(
+        f"{name} bigint" for name in REMOVED))

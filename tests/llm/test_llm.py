@@ -367,6 +367,66 @@ def brute_join(rows):
                 parent[high] = low
     return {i: (find(i), links[i]) for i in ids}
 
+def test_html_names_declare_by_their_last_word():
+    kept = ('<p class="share-price">a</p><p class="notice-of-intent">b</p><section id="signup-history">c</section>'
+            '<div class="story-comment-count">d</div><article class="post">e</article>')
+    gone = ('<div class="cookie-notice">x</div><div id="ad-slot-3">x</div><ul class="main related-articles"><li>x</ul>'
+            '<article class="comment">x</article><article id="reply-12">x</article><div class="siteFooter">x</div>')
+    assert html_text.main_text(f"<body><article>{kept}{gone}</article>{gone}</body>", set()) == "a b c d e"
+
+
+def test_html_parsing_is_linear():
+    import time
+    n = 100_000
+    pages = ["<div>" * n + "</p>" * n, "<a " * 3 * n, "<li><article>" + "<div>" * n + "</li>" * n, "<b>" * n + "<hr>" * n,
+             """<a '"> """ * n, "<a " + "a" * 10 * n + ">", '<a "' * 2 * n]
+    begin = time.time()
+    for page in pages:
+        html_text.parse(page)
+    assert time.time() - begin < 60  # the former search took minutes for any one of the first four
+
+
+def test_html_templates_match_brute_force_counts(spark):
+    from collections import defaultdict
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        host = f"h{i % 3}.example"
+        menu = f"<div class=top><a href=/>Home</a> shelf {i % 3}</div>"
+        box = f"<div>offer {int(rng.integers(0, 4))}</div>"
+        odd = "<nav>only here</nav>" if i == 7 else "<nav>Menu of all</nav>"
+        rows.append((i, f"https://{host}/{i}", f"<body>{menu}{odd}<p>text {int(rng.integers(0, 25))} <i>of {i}</i></p>{box}</body>"))
+    rows += [(200 + k, rows[5][1], rows[5][2]) for k in range(30)] + [(300, None, None), (301, "broken", "")]
+    pages_of, bodies = defaultdict(set), defaultdict(set)
+    for _, url, page in rows:
+        host = (url or "").split("/")[2] if "://" in (url or "") else ""
+        body = html_text.main_text(page or "", set())
+        bodies[host].add(body)
+        stack = list(html_text.parse(page or "").parts)
+        while stack:
+            part = stack.pop()
+            if not isinstance(part, str) and part.chars:
+                if part.tag != "body":
+                    pages_of[host, part.hash].add(body)
+                # Below a declared part nothing is counted.
+                stack += [] if part.dropped else part.parts
+    want = {(host, h) for (host, h), found in pages_of.items()
+            if len(found) >= html_text.MIN_PAGES and len(found) >= html_text.SHARE * len(bodies[host])}
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {(r["host"], h % (1 << 64)) for r in html_text.templates(frame).collect() for h in r["template"]}
+    assert got == want and want
+    out = {r["page_id"]: r for r in html_text.extract(frame).collect()}
+    assert len(out) == len(rows) and "only here" not in out[7]["text"] and out[7]["n_declared"] == len("only here")
+    assert out[8]["n_declared"] == 0 and out[8]["n_template"] >= len("Menu of all") and "offer" not in out[8]["text"]
+
+
+def test_html_empty_table_and_other_columns(spark):
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html_text.extract(empty).count() == 0
+    rows = [(1, "https://a.b/1", "<p>one</p>", "h", 5, "t"), (None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, salt int, template string")
+    assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(frame).collect()) == [("", 0), ("one", 3)]
+
 
 def test_join_matches_brute_force(spark, monkeypatch):
     random.seed(2)
