@@ -431,7 +431,7 @@ SELECT CASE WHEN rec_id % 97 < 2 THEN 'unreadable' ELSE route END AS route,
        CAST(sum(bytes_a_to_b) FILTER (rec_id % 97 >= 2) AS BIGINT) AS bytes_a_to_b FROM ({_ROUTE}) GROUP BY 1, 2""")
 oracle("raw_dns_ingest", ["fx_raw_dns"], """
 SELECT rec_id, host, CAST(len(response_addresses) AS INT) AS addresses, CAST(len(response_ttls) AS INT) AS ttls
-FROM fx_raw_dns WHERE rec_id % 97 >= 2""")
+FROM fx_raw_dns""")
 oracle("ingest_balance", ["fx_raw_flow", "fx_raw_dns"], """
 SELECT archive, count(*) AS records, count(*) FILTER (rec_id % 97 >= 2) AS readable,
        CAST(0 AS BIGINT) AS without_number, count(*) FILTER (rec_id % 97 < 2) AS unreadable

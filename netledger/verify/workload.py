@@ -169,16 +169,24 @@ def _archives(s: Study) -> list[DataFrame]:
 
 _P_COLS = ["flow_id", "category", "org"]
 
-def _damaged_archive(s: Study, view: str, column: str) -> str:
-    """The view written as JSON lines; of 97 records one is cut off and one has a text where a number belongs."""
+def _damaged_archive(s: Study, view: str, column: str, resent: bool = False) -> str:
+    """The view written as JSON lines; of 97 records one is cut off and one has a text where a number belongs.
+
+    With resent, the whole line of such a record follows its damaged one: the archive lacks no record.
+    """
     path = scratch_path(s.spark, view)
     df, text = s.view(view), F.col("value")
     lines = df.select("rec_id", F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
-    lines.select(
+    sent = (
         F.when(F.col("rec_id") % 97 == 0, F.substr(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")))
         .when(F.col("rec_id") % 97 == 1, F.regexp_replace(text, f'"{column}":', f'"{column}":"?",":'))
-        .otherwise(text).alias("value")
-    ).write.text(path)
+        .otherwise(text)
+    )
+    if resent:
+        lines = lines.select(F.explode(F.when(sent != text, F.array(sent, text)).otherwise(F.array(text))).alias("value"))
+    else:
+        lines = lines.select(sent.alias("value"))
+    lines.write.text(path)
     return path
 
 
@@ -186,8 +194,8 @@ def _flow_records(s: Study) -> DataFrame:
     return raw_logs.read_records(s.spark, _damaged_archive(s, "fx_raw_flow", "rec_id"), RAW_FLOW)
 
 
-def _dns_records(s: Study) -> DataFrame:
-    return raw_logs.read_records(s.spark, _damaged_archive(s, "fx_raw_dns", "rec_id"), RAW_DNS)
+def _dns_records(s: Study, resent: bool = False) -> DataFrame:
+    return raw_logs.read_records(s.spark, _damaged_archive(s, "fx_raw_dns", "rec_id", resent), RAW_DNS)
 
 
 def _raw_flow_ingest(s: Study) -> DataFrame:
@@ -258,7 +266,7 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "txn_log_ingest": _txn_log_ingest,
     "cleaning_balance": _cleaning_balance,
     "anonymised_flows": _anonymised,
-    "raw_dns_ingest": lambda s: raw_logs.readable(_dns_records(s)).select(
+    "raw_dns_ingest": lambda s: raw_logs.readable(_dns_records(s, resent=True)).select(
         "rec_id", "host", F.size("response_addresses").alias("addresses"), F.size("response_ttls").alias("ttls")
     ),
     "user_partitioned": _user_partitioned,
