@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -45,12 +47,16 @@ def health_primary_domain(name: Column | str) -> Column:
     return result
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv4_number(ip: Column | str) -> Column:
     """IPv4 text as a number; NULL for anything else."""
     text = as_col(ip)
-    octets = F.split(text, r"\.")
-    number = sum(
-        (F.get(octets, i).try_cast("bigint") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("bigint")
+    number = F.aggregate(
+        F.split(text, r"\."), F.lit(0).cast("bigint"), lambda high, octet: high * 256 + octet.try_cast("bigint")
     )
     return F.when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
 
@@ -60,33 +66,42 @@ def ipv6_groups(ip: Column | str) -> Column:
 
     "::" stands for as many zero groups as are missing, and the last two groups may be written as an IPv4 address.
     """
-    text = F.lower(F.trim(as_col(ip)))
-    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    digits = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
-    plain = F.when(tail == "", text).otherwise(
-        F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(digits, 1, 4), F.lit(":"),
-                 F.substring(digits, 5, 4))
-    )
-    halves = F.split(plain, "::")
     groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    head = groups(F.get(halves, F.lit(0)))
-    rest = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    missing = F.when(F.size(halves) == 2, F.greatest(8 - F.size(head) - F.size(rest), F.lit(1))).otherwise(F.lit(0))
-    joined = F.concat(head, F.array_repeat(F.lit("0"), missing), rest)
-    readable = (F.size(joined) == 8) & F.forall(joined, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(plain.contains(":") & readable, F.array_join(F.transform(joined, lambda g: F.lpad(g, 4, "0")), ":"))
+
+    def without_tail(text: Column, tail: Column) -> Column:
+        return F.when(tail == "", text).otherwise(_bound(
+            F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0"),
+            lambda digits: F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)),
+                                    F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))))
+
+    def joined(halves: Column, head: Column, rest: Column) -> Column:
+        missing = F.when(F.size(halves) == 2, F.greatest(8 - F.size(head) - F.size(rest), F.lit(1))).otherwise(F.lit(0))
+        return F.concat(head, F.array_repeat(F.lit("0"), missing), rest)
+
+    def filled(halves: Column) -> Column:
+        head = groups(F.get(halves, F.lit(0)))
+        rest = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return _bound(head, lambda h: _bound(rest, lambda r: joined(halves, h, r)))
+
+    def padded(parts: Column) -> Column:
+        readable = (F.size(parts) == 8) & F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(readable, F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), ":"))
+
+    def spelled_out(plain: Column) -> Column:
+        return F.when(plain.contains(":"), _bound(_bound(F.split(plain, "::"), filled), padded))
+
+    return _bound(F.lower(F.trim(as_col(ip))), lambda text: _bound(
+        _bound(F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1), lambda tail: without_tail(text, tail)), spelled_out))
 
 
 def ip_is_local(ip: Column | str) -> Column:
     """True where the address is not globally reachable, in any spelling; False for unreadable text."""
-    number = ipv4_number(ip)
-    local4 = F.lit(False)
-    for block in tables.lines(tables.NOT_GLOBAL_IPV4):
-        net = ipaddress.ip_network(block)
-        local4 = local4 | number.between(int(net.network_address), int(net.broadcast_address))
+    nets = [ipaddress.ip_network(block) for block in tables.lines(tables.NOT_GLOBAL_IPV4)]
+    in_block = lambda number: reduce(
+        lambda a, b: a | b, [number.between(int(net.network_address), int(net.broadcast_address)) for net in nets])
     pattern6 = "|".join(tables.lines(tables.NOT_GLOBAL_IPV6))
-    local6 = ipv6_groups(ip).rlike(pattern6)
-    return F.coalesce(F.when(number.isNotNull(), local4).otherwise(local6), F.lit(False))
+    # The first is NULL for what is no IPv4 address.
+    return F.coalesce(_bound(ipv4_number(ip), in_block), ipv6_groups(ip).rlike(pattern6), F.lit(False))
 
 
 def protocol_name(protocol: Column | str, port: Column | str) -> Column:

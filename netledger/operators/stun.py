@@ -13,6 +13,7 @@ second rule is recursive. It is solved without a per-user state machine:
 
 Each round removes rows for good, so the loop ends; every step is a two-level scan that splits hot keys by time. A
 5-tuple that lost nothing in a round is settled and leaves the loop, so a round's work is what the last one changed.
+5-tuples without any seeded flow hold nothing related and stay out of all rounds.
 """
 
 from __future__ import annotations
@@ -82,9 +83,14 @@ def _mark_reached(candidates: DataFrame, grace_seconds: int, unit: str) -> DataF
 
 
 def _reached(candidates: DataFrame, grace_seconds: int, unit: str) -> DataFrame:
-    """All rounds: the candidates that an unbroken chain connects to a seeded flow."""
+    """All rounds: the candidates that an unbroken chain connects to a seeded flow.
+
+    No chain leads out of a 5-tuple, so those without any seeded flow take part in no round.
+    """
     settled = scratch_path(candidates.sparkSession, "settled")
     schema = candidates.schema
+    with_seed = candidates.where("__seed").select(*_TUPLE).distinct()
+    candidates = materialise(candidates.join(with_seed, _TUPLE, "left_semi").select(*schema.names), "open")
     while True:
         marked = materialise(_mark_reached(candidates, grace_seconds, unit), "marked")
         changed = marked.where(~F.col("__kept")).select(*_TUPLE).distinct()

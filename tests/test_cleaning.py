@@ -1,6 +1,8 @@
 """Sources, canonical records, privacy and labelling on hand-written rows."""
 
+import io
 import re
+from contextlib import redirect_stdout
 from datetime import datetime, timedelta
 
 import pytest
@@ -196,6 +198,15 @@ def test_local_addresses(spark, ip, local):
     assert _values(spark, [ip], naming.ip_is_local("v")) == [local]
 
 
+def test_an_address_is_read_once_per_row(spark):
+    """Every block is compared with one number: the address text is not taken apart again for each of them."""
+    df = spark.createDataFrame([("10.1.2.3",)], "v string").select(naming.ip_is_local("v").alias("local"))
+    text = io.StringIO()
+    with redirect_stdout(text):
+        df.explain("simple")
+    assert 1 <= text.getvalue().count(r"^\d{1,3}(") <= 2  # the address, and an IPv4 tail of an IPv6 one
+
+
 def test_names(spark):
     names = ["a.b.example.com.", "x.y.co.uk", "localhost", "", "dokter-sehat-com.cdn.ampproject.org.",
              "alodokter.page.link."]

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from netledger.operators import stun
 from netledger.operators.stun import tag_related_flows
 from netledger.params import ICE, PEER_TO_PEER, UNKNOWN_NO_DNS, UNKNOWN_NOT_MAPPED
 
@@ -79,6 +80,26 @@ def test_chain_by_hand(spark):
     assert got[5] == ("Video", "Vidio")
 
 
+def test_rounds_leave_out_tuples_without_a_seeded_flow(spark, monkeypatch):
+    rounds = []
+
+    def watched(candidates, *rest, mark=stun._mark_reached):
+        rounds.append({r.dest_ip for r in candidates.collect()})
+        return mark(candidates, *rest)
+
+    monkeypatch.setattr(stun, "_mark_reached", watched)
+    flows = [
+        _flow(0, "u", 0, 1, 7, "s", 3478),
+        _flow(1, "u", 30, 100, 7, "a", 9),
+        _flow(2, "u", 134, 10, 7, "a", 9),
+        *[_flow(10 + i, "u", 100 * i + 70, 10, 7, "b", 9) for i in range(5)],  # never within a minute of the set-up
+        _flow(20, "u", 10, 10, 8, "c", 9),                                      # another port
+    ]
+    got = _run(spark, flows)
+    assert {i for i, (category, _) in got.items() if category == PEER_TO_PEER} == {1, 2} and len(got) == len(flows)
+    assert rounds[0] == {"a"} and all(r <= {"a"} for r in rounds)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_random_flows_match_the_state_machine(spark, seed):
     rng = random.Random(seed)
